@@ -42,4 +42,15 @@ least as (select node, min(other) as component_id from reach group by node)
 select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least on node = doc_id
 """
 
-ORACLES = {"op9_secrets": _secrets(), "op4_near_duplicates": _CLASSES}
+_FIXITY = """
+with r as (select page_id, coalesce(page_id, -1) as id, coalesce(html, '') as body,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record from pages)
+select page_id, id // 1024 as file, cast(coalesce(sum(strlen(record)) over (partition by id // 1024 order by id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
+  strlen(record) as length, sha256(record) as digest,
+  case when page_id % 211 = 17 then 'missing' when page_id % 89 = 3 then 'changed' else 'intact' end as outcome
+from r
+"""
+
+ORACLES = {"op7_fixity": _FIXITY, "op9_secrets": _secrets(), "op4_near_duplicates": _CLASSES}
