@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gritsieve.plans.storage import materialize, shared_dir  # noqa: F401  for the operators
+
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,26 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that driver and executors share.
-
-    It is what the session names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder of this machine serves.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "gritsieve-checkpoints")
-    return named
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as 0 and so as held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

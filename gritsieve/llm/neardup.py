@@ -10,10 +10,9 @@ What passes is confirmed on the full shingle sets.
 Texts with the same word sequence count once (a 128-bit digest names them).  No bucket's
 pairs are listed: first each member is compared with its bucket's least member; then, only
 in buckets whose members still belong to different components, members of different
-components are compared inside the join condition, and only those that pass the estimate
-leave it.  So a pair that shares a bucket is compared or already connected.  A pair with
+components are compared chunk by chunk, estimate first, and only links come out.  So a pair that shares a bucket is compared or already connected.  A pair with
 similarity 0.75 shares none of the 32 buckets with probability 5e-6, and falls below the
-floor with probability below 1e-9.
+floor with probability 3e-7.
 
 Defined cases: a text that is null, empty or blank has an empty set and is alone; with one
 to four words the whole sequence is the only shingle.  Rows with a null id take part; a
@@ -32,15 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.common import materialize, words_of
-from gritsieve.llm.graph import components
+from gritsieve.plans.graph import components
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 PERCENT = 75
-#: Least estimated similarity of a candidate; 0.75 lies 6 standard deviations above it.
-FLOOR = 0.5
+#: Least estimated similarity of a candidate; 0.75 lies 5 standard deviations above it.
+FLOOR = 0.55
 #: Word hashes that a worker remembers.
 MEMORY = 300_000
+#: Members of a bucket that are compared in one group.
+CHUNK_ROWS = 512
 
 
 class _Hashes(dict):
@@ -139,37 +140,106 @@ def alike_in_size(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, known = _Hashes(), {}
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for batch in batches:
+        keys, ids, sets = batch.column(1).to_pylist(), [], []
+        for k, text in enumerate(batch.column(2).cast(pa.binary())):
+            words = words_of(text.as_py())
+            if digest(words) == keys[k]:
+                ids.append(k), sets.append(shingle_set(words, hashes).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    def of(key: bytes, text: bytes) -> np.ndarray | None:
-        if key not in known:
-            words = words_of(text)
-            if len(known) >= 64:
-                known.clear()
-            known[key] = shingle_set(words, hashes) if digest(words) == key else None
-        return known[key]
 
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        ta, tb = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-        kept = []
-        for k in range(len(a)):
-            x, y = of(a[k], ta[k].as_py()), of(b[k], tb[k].as_py())
-            if x is not None and y is not None:
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    kept.append(k)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
-
-
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, shingles)``: the full shingle sets of the wanted texts (id, key, rep_id, rep_hash)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "rep_id", "rep_hash"), "key")
-    texts = wanted.join(texts, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("key", "text")
-    joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a binary, b binary").distinct()
+    found = wanted.join(texts, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("id", "key", "text")
+    return found.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two full sets are similar enough."""
+    return (100 + PERCENT) * F.size(F.array_intersect(a, b)) >= PERCENT * (F.size(a) + F.size(b))
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima differ in their low bits, for all rows of a against all of b."""
+    x = a[:, None, :] ^ b[None, :, :]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=2, dtype=np.int64)
+
+
+#: Most differing minima of a candidate.
+_MOST_UNLIKE = BANDS * ROWS * (1 - 1 / 2**BITS) * (1 - FLOOR)
+
+
+def _links(rows: list[dict]) -> Iterator[tuple[int, int]]:
+    """Links that join components of one bucket's two chunks (or of one chunk in itself)."""
+    a = [r for r in rows if r["side"] == 0]
+    b = [r for r in rows if r["side"] == 1]
+    itself = not b
+    b = b or a
+    column = lambda side, name, kind: np.array([r[name] for r in side], kind)
+    sign_a, sign_b = column(a, "sign", np.int64).view(np.uint64), column(b, "sign", np.int64).view(np.uint64)
+    n_a, n_b = column(a, "n", np.int64), column(b, "n", np.int64)
+    names = {c: k for k, c in enumerate({r["component"] for r in rows})}
+    of_a, of_b = (np.array([names[r["component"]] for r in side]) for side in (a, b))
+    bands_a, bands_b = column(a, "bands", np.int64), column(b, "bands", np.int64)
+    place = a[0]["place"] if a else 0
+    for i in range(len(a)):
+        near = (of_b != of_a[i]) & (100 * np.minimum(n_a[i], n_b) >= PERCENT * np.maximum(n_a[i], n_b))
+        if itself:
+            near[: i + 1] = False
+        at = np.flatnonzero(near)
+        at = at[_unlike(sign_a[i : i + 1], sign_b[at])[0] <= _MOST_UNLIKE]
+        at = at[~(bands_b[at, :place] == bands_a[i, :place]).any(axis=1)]  # a band before has dealt with the others
+        while len(at):
+            part, at = at[:32], at[32:]
+            sets = [b[j]["shingles"] for j in part]
+            inside = np.isin(np.concatenate(sets), a[i]["shingles"], assume_unique=False)
+            both = np.add.reduceat(inside, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
+            for j in part[(100 + PERCENT) * both >= PERCENT * (n_a[i] + n_b[part])]:
+                if of_b[j] != of_a[i]:
+                    yield a[i]["id"], b[j]["id"]
+                    old, new = of_b[j], of_a[i]
+                    of_a[of_a == old] = new
+                    of_b[of_b == old] = new
+            at = at[of_b[at] != of_a[i]]
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    key = None
+    found: list[tuple[int, int]] = []
+    for batch in batches:
+        heads = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+        numpy = {n: batch.column(n) for n in ("sign", "bands", "shingles")}
+        plain = {n: batch.column(n).to_pylist() for n in ("side", "id", "n", "component", "place")}
+        for k, head in enumerate(heads):
+            if head != key:
+                found += _links(held) if len(held) > 1 else ()
+                held, key = [], head
+            held.append({n: v[k] for n, v in plain.items()} | {n: v[k].values.to_numpy() for n, v in numpy.items()})
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+        found = []
+    if len(held) > 1:
+        found = list(_links(held))
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+
+def linked(members: DataFrame) -> DataFrame:
+    """``(a, b)``: links by which members of different components of a bucket are joined.
+
+    A bucket is cut into chunks of about ``CHUNK_ROWS`` members, and each pair of chunks is
+    a group of its own, so that no task holds a whole bucket.  All pairs in a group are
+    compared, save those that a link of the group or an earlier band has dealt with.
+    """
+    chunks = members.groupBy("band").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
+    dealt = members.join(chunks, "band").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "place", "sign", "bands", "shingles")
+    return dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_link, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -178,31 +248,41 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = signed.filter("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sign").alias("sign")
     )
-    reps = materialize(reps.select("key", "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "n", "bands", "sign"))
-    buckets = reps.select("key", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("members")).filter("members > 1").select("band", "pivot")
-    shared = materialize(buckets.join(shared, "band"))
+    reps = materialize(reps.select("key", "least_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "n", "bands", "sign").withColumn("id", F.monotonically_increasing_id()))
+
+    # rows of buckets with two members at least that have a partner by the estimate
+    buckets = reps.select("id", F.explode("bands").alias("band"))
+    many = buckets.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
+    shared = materialize(buckets.join(many, "band").join(reps.select("id", "n", "sign"), "id"))
 
-    facts = reps.select("key", "n", "sign")
-    of = lambda side: facts.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sign").alias(f"sign_{side}"))
-    pairs = shared.filter("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
-    pairs = pairs.filter(alike_in_size(F.col("n_a"), F.col("n_b")) & (estimate(F.col("sign_a"), F.col("sign_b")) >= FLOOR)).select("a", "b")
-    links = materialize(confirmed(materialize(pairs), reps, docs))
+    def promising(a: DataFrame, b: DataFrame, *more: Column) -> Column:
+        out = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id"))
+        for c in (*more, alike_in_size(F.col("a.n"), F.col("b.n")), estimate(F.col("a.sign"), F.col("b.sign")) >= FLOOR):
+            out = out & c
+        return out
 
+    a, b = shared.alias("a"), shared.alias("b")
+    shared = materialize(a.join(b, promising(a, b), "left_semi"))
+    sets = materialize(full_sets(shared.select("id").distinct().join(reps.select("id", "key", "rep_id", "rep_hash"), "id"), docs))
+
+    # each member against the least member of its bucket
+    pivots = shared.groupBy("band").agg(F.min("id").alias("b"))
+    pairs = shared.join(pivots, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    own = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}"))
+    links = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(alike(F.col("sa"), F.col("sb"))).select("a", "b"))
     first = components(links)
-    placed = shared.select("band", "key").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+    # what still lies apart in one bucket: all pairs, but never listed
+    placed = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    left = materialize(placed.join(mixed, "band").join(facts, "key"))
-    a, b = left.alias("a"), left.alias("b")
-    more = a.join(
-        b,
-        (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.component") != F.col("b.component"))
-        & alike_in_size(F.col("a.n"), F.col("b.n")) & (estimate(F.col("a.sign"), F.col("b.sign")) >= FLOOR),
-    ).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    more = materialize(confirmed(materialize(more), reps, docs))
+    apart = materialize(placed.join(mixed, "band"))
+    a, b = apart.alias("a"), apart.alias("b")
+    differ = F.col("a.component") != F.col("b.component")
+    apart = a.join(b, promising(a, b, differ), "left_semi").join(reps.select("id", "bands"), "id").join(sets, "id")
+    more = materialize(linked(materialize(apart.withColumn("place", F.array_position("bands", F.col("band")).cast("int") - 1))))
     whole = components(links.unionByName(more)) if more.take(1) else first
 
-    labels = reps.select("key", "least_id").join(whole.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("component", "key"))
+    labels = reps.select("key", "id", "least_id").join(whole.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
     ids = labels.groupBy("group").agg(F.min("least_id").alias("component_id"))
     labels = labels.select("key", "group").join(ids, "group")
     out = signed.select("doc_id", "text_hash", "key", "n_shingles").join(labels, "key", "left")
