@@ -38,7 +38,7 @@ SMOOTH = 0.5
 #: A script belongs to a language if at least this share of its letters is in that script.
 SCRIPT_SHARE = 0.01
 #: Words that a worker remembers.
-MEMORY = 200_000
+MEMORY = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Last code points of Unicode script ranges, with the script's name.
@@ -120,32 +120,35 @@ class Scorer:
     """Scores words by a model and remembers them."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.rows = model, {}, np.empty((0, len(model.langs)))
+        self.model, self.known, self.rows = model, {}, np.empty((1 << 14, len(model.langs)), np.float32)
+        self.can = np.array([model.scripts[k] for k in range(len(_NAMES))])
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > MEMORY:
-            self.known, self.rows = {}, self.rows[:0]
+            self.known = {}
         new = list({w for t in texts for w in t if w not in self.known})
         if new:
             cells, begins = _grams(new)
-            s = np.add.reduceat(self.model.logs[cells], begins, axis=0, dtype=np.float64)
-            for k, w in enumerate(new):
-                can = self.model.scripts[script(w)]
-                s[k] = np.where(can, s[k], -np.inf) if can.any() else 0.0
+            s = np.add.reduceat(self.model.logs[cells], begins, axis=0)
+            which = _SCRIPT_OF[np.searchsorted(_LAST, np.fromiter((ord(w[0]) for w in new), np.int64, len(new)))]
+            can = self.can[which]
+            s[~can & can.any(axis=1, keepdims=True)] = -np.inf
             s = np.maximum(s - s.max(axis=1, keepdims=True), -BOUND)
-            self.known.update((w, len(self.rows) + k) for k, w in enumerate(new))
-            self.rows = np.concatenate([self.rows, s])
+            s[~can.any(axis=1)] = 0
+            n = len(self.known)
+            self.known.update(zip(new, range(n, n + len(new))))
+            while len(self.rows) < n + len(new):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[n : n + len(new)] = s
         get = self.known.__getitem__
         return [self.rows[np.fromiter(map(get, t), np.int64, len(t))] for t in texts]
 
 
 def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each row of ``s`` (words, languages)."""
-    total = s.sum(axis=0)
-    best = int(total.argmax())
-    gain = np.cumsum(s - s[:, best : best + 1], axis=0)
-    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    rise = gain.copy()
+    best = int(s.sum(axis=0, dtype=np.float64).argmax())
+    rise = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
+    low = np.minimum(np.minimum.accumulate(rise, axis=0), 0)
     rise[1:] -= low[:-1]
     if rise.max(initial=0) <= switch:
         return np.full(len(s), best)
