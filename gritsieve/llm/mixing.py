@@ -31,7 +31,7 @@ from gritsieve.llm.common import WORD, materialize
 #: Most repeats of a source in the mix.
 MOST_EPOCHS = 3
 #: Rounds of the swap-or-not permutation.
-ROUNDS = 24
+ROUNDS = 12
 #: Cells of the lookup from a draw to its source; with one row more for each source.
 CELLS = 1024
 
@@ -129,7 +129,7 @@ def slots(quota: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     runs = kept.unionByName(rest).join(quota.select("number", "blocks", "quota"), "number").withColumn("end", F.least("end", "quota")).filter("start < end")
     # a run is unrolled in pieces, so that no row makes more than shard_slots others
     runs = runs.withColumn("start", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(shard_slots).cast("long")))).withColumn("end", F.least(F.col("end"), F.col("start") + shard_slots))
-    each = runs.withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    each = runs.repartition(runs.sparkSession.sparkContext.defaultParallelism * 2).withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
     return each.select("shard", "number", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("number"), F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
 
 
