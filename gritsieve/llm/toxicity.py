@@ -6,7 +6,8 @@ dense, none at all).  An entry must stand after many different words, so that th
 of one much-copied text is none.  A generative label model estimates by expectation
 maximization how often each voter votes what given the hidden label, weighing each vote
 down by the voter's correlations with others, so that entries that always vote together
-count once.  A linear (logistic) classifier is trained on its posterior labels.
+count once.  A linear (logistic) classifier is trained on its posterior labels; the slope
+and offset of its scores are then set by the sample's own labels.
 
 Voters and classifier are fitted to a bounded sample (see ``labelled``).  Defined cases:
 null and empty texts have no hits and get a score.  With no toxic training row there are no
@@ -149,13 +150,20 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
         own = shared.value
         own.ready()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.features(x.as_py()) for x in batch.column(0)], pa.list_(pa.float32()))], names=["f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.features(x.as_py()) for x in batch.column(1)], pa.list_(pa.float32()))], names=["y", "f"])
 
-    got = rows.select("text").mapInArrow(run, "f array<float>").toPandas()
-    f = np.stack([np.asarray(x, np.float64) for x in got["f"]])
-    f = f[np.lexsort(f.T)]
+    got = rows.select("y", "text").mapInArrow(run, "y int, f array<float>").toPandas()
+    f, y = np.stack([np.asarray(x, np.float64) for x in got["f"]]), got["y"].to_numpy(np.float64)
+    order = np.lexsort(np.vstack([y, f.T]))
+    f, y = f[order], y[order]
     posterior, _ = label_model(votes(f), share)
-    return Model(lexicon, logistic(f, posterior, 1.0, intercept=True))
+    weights = logistic(f, posterior, 1.0, intercept=True)
+    # the votes leave the level open: slope and offset of the scores by the sample's labels
+    slope, offset = logistic((f @ weights[:-1] + weights[-1])[:, None], y, 1e-3, intercept=True)
+    if slope > 0:
+        weights = weights * slope
+        weights[-1] += offset
+    return Model(lexicon, weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
