@@ -43,6 +43,40 @@ def cosine_similarity(words: DataFrame, bias: float = 1.0) -> DataFrame:
     return dots.unionByName(words.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(bias).alias("v")))
 
 
+def feature_similarity(features: DataFrame, ids: DataFrame, metric: str = "cosine", bias: float = 1.0) -> DataFrame:
+    """``(i, j, v)``: bias minus the distance of feature rows (id, token, w), where not 0.
+
+    Cosine needs only rows that share a token; under ``euclidean`` and ``manhattan`` every
+    two rows have a distance, so their number is bounded by ``MOST_WORDS``.
+    """
+    if metric == "cosine":
+        norms = features.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        unit = features.join(norms, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("w"))
+        a, b = unit.select(F.col("id").alias("i"), "token", F.col("w").alias("a")), unit.select(F.col("id").alias("j"), "token", F.col("w").alias("b"))
+        dots = a.join(b, "token").filter("i <> j").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) + F.lit(bias - 1)).alias("v"))
+        return dots.unionByName(ids.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(bias).alias("v")))
+    if metric not in ("euclidean", "manhattan"):
+        raise ValueError(metric)
+    names = np.array(sorted(r.id for r in ids.select("id").limit(MOST_WORDS + 1).collect()), np.int64)
+    if len(names) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} rows are too many for the {metric} metric")
+    wide = features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("row"))
+    shared = features.sparkSession.sparkContext.broadcast({r.id: r.row for r in wide.collect()})
+
+    def run(pdfs):
+        rows = shared.value
+        for pdf in pdfs:
+            for i in pdf["id"]:
+                x, out = rows.get(i, {}), []
+                for j in names:
+                    y = rows.get(j, {})
+                    gaps = [abs(x.get(t, 0.0) - y.get(t, 0.0)) for t in x.keys() | y.keys()]
+                    out.append(bias - (sum(gaps) if metric == "manhattan" else sum(g * g for g in gaps) ** 0.5))
+                yield pd.DataFrame({"i": i, "j": names, "v": out})
+
+    return ids.select("id").mapInPandas(run, "i long, j long, v double").filter("v <> 0")
+
+
 def self_loops(m: DataFrame, weight: float = 0.01) -> DataFrame:
     nodes = m.select(F.col("i").alias("n")).unionByName(m.select(F.col("j").alias("n"))).distinct()
     return m.unionByName(nodes.select(F.col("n").alias("i"), F.col("n").alias("j"), F.lit(weight).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
@@ -115,6 +149,36 @@ def word_clusters(words: DataFrame, **params) -> DataFrame:
     return cluster(cosine_similarity(words), words, **params).join(words.withColumn("id", F.col("id").cast("long")), "id").select("label", "id", "word", "n")
 
 
+class MarkovClustering:
+    """The steps on one matrix, in the order in which they are called.
+
+    ``metric`` None takes rows (i, j, v) as they are; else the rows are features (id, token,
+    w), whose similarities are the matrix.
+    """
+
+    def __init__(self, matrix: DataFrame, metric: str | None = "cosine", bias: float = 1.0):
+        ids = matrix.select("id").distinct() if metric else matrix.select(F.col("i").alias("id")).unionByName(matrix.select(F.col("j").alias("id"))).distinct()
+        self.nodes = materialize(ids)
+        self.matrix = materialize(feature_similarity(matrix, self.nodes, metric, bias) if metric else matrix.select("i", "j", "v"))
+        self.labels: DataFrame | None = None
+
+    def fit(self, **params) -> MarkovClustering:
+        self.labels = materialize(cluster(self.matrix, self.nodes, **params))
+        return self
+
+    def extract_labels(self) -> DataFrame:
+        if self.labels is None:
+            raise RuntimeError("fit comes first")
+        return self.labels
+
+    def clusters(self, words: DataFrame | None = None) -> DataFrame:
+        """``(label, members)``: ids, or the words (id, word) in their place."""
+        labels = self.extract_labels()
+        if words is None:
+            return clusters(labels)
+        return labels.join(words.select("id", "word"), "id").groupBy("label").agg(F.array_sort(F.collect_list("word")).alias("members"))
+
+
 def typo_correction(rows: DataFrame, col: str, **params) -> DataFrame:
     """``(_idx, word, suggestion)``: rows whose word is rarer than its cluster's commonest, which is suggested.
 

@@ -202,6 +202,18 @@ def test_matrix_steps_against_numpy(spark):
     assert all(math.isclose(v, (n @ n)[k] ** 2) for k, v in got.items())
 
 
+def test_clustering_object(spark):
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(WORDS)], f"{IDX} long, w string")
+    words = mcl.vocabulary(df, "w")
+    got = mcl.MarkovClustering(mcl.tf_vectors(words)).fit().clusters(words).collect()
+    assert sorted(r.members for r in got) == [["blue gear", "gear blue"], ["steel rod"]]
+    rows = spark.createDataFrame([(0, "x", 1.0), (1, "x", 1.5), (2, "x", 9.0)], "id long, token string, w double")
+    dist = {(r.i, r.j): r.v for r in mcl.feature_similarity(rows, rows.select("id"), "euclidean").collect()}
+    assert dist[0, 1] == 0.5 and dist[0, 2] == -7.0 and dist[2, 2] == 1.0
+    with pytest.raises(RuntimeError):
+        mcl.MarkovClustering(rows).extract_labels()
+
+
 def test_affinity_propagation_finds_groups():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (8, 2)), rng.normal(5, 0.1, (9, 2)), rng.normal((0, 9), 0.1, (7, 2))])
