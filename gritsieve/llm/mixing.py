@@ -92,10 +92,9 @@ def segments(placed: DataFrame, block_words: int) -> DataFrame:
     return rows.withColumn("from_word", start - F.col("first")).withColumn("words", stop - start)
 
 
-def draws(quota: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+def draws(quota: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
     """``(shard, number, count)``: multinomial source counts of the output shards."""
     spark = quota.sparkSession
-    slots = quota.agg(F.coalesce(F.max("stop"), F.lit(0))).first()[0]
     width = max(1, -(-slots // CELLS))
     cells = quota.filter("quota > 0").select("number", (F.col("stop") - F.col("quota")).alias("start"), "stop")
     cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
@@ -118,7 +117,8 @@ def permuted(index: Column, n: Column, *key) -> Column:
 
 def slots(quota: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """``(shard, number, slot, block)``: what each output slot takes; slots count by source."""
-    drawn = draws(quota, shard_slots, seed).withColumn("group", F.floor(F.col("shard") / 1024))
+    total_slots = quota.agg(F.coalesce(F.max("stop"), F.lit(0))).first()[0]
+    drawn = draws(quota, total_slots, shard_slots, seed).withColumn("group", F.floor(F.col("shard") / 1024))
     groups = drawn.groupBy("number", "group").agg(F.sum("count").alias("size"))
     groups = groups.withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy("number").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.coalesce(F.sum("count").over(W.partitionBy("number", "group").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -129,7 +129,9 @@ def slots(quota: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     runs = kept.unionByName(rest).join(quota.select("number", "blocks", "quota"), "number").withColumn("end", F.least("end", "quota")).filter("start < end")
     # a run is unrolled in pieces, so that no row makes more than shard_slots others
     runs = runs.withColumn("start", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(shard_slots).cast("long")))).withColumn("end", F.least(F.col("end"), F.col("start") + shard_slots))
-    each = runs.repartition(runs.sparkSession.sparkContext.defaultParallelism * 2).withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    # few short rows unroll into all slots, so they are dealt out by the number of slots
+    parts = max(2 * runs.sparkSession.sparkContext.defaultParallelism, total_slots // 1_000_000)
+    each = runs.repartition(parts).withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
     return each.select("shard", "number", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("number"), F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
 
 
