@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from gritsieve.functions.scalar import frac_year, parse_date
 from gritsieve.plans.ledger import IDX
 
+#: Rows that are looked at before a column is read through.
+PROBE = 1000
 #: Columns in one aggregate, to stay clear of the limits of generated code.
 CHUNK = 100
 
@@ -53,19 +55,22 @@ def kinds(df: DataFrame) -> dict[str, str]:
             out[f.name] = "none"
         if out[f.name] != "none":
             asked.append(f.name)
+    # one value settles that a column isn't empty, one text that it holds no dates: a few rows
+    # settle most columns, and only the others are read through
     counts: dict[str, int] = {}
-    for k in range(0, len(asked), CHUNK):
-        exprs = []
-        for i, c in enumerate(asked[k : k + CHUNK]):
-            exprs.append(F.count(F.col(c)).alias(f"n{i}"))
-            # counts texts that are no dates; a text that starts with a letter other than a month's is none
-            exprs.append((F.count_if(F.col(c).isNotNull() & parse_date(F.col(c)).isNull()) if out[c] == "str" else F.lit(0)).alias(f"d{i}"))
-        row = df.agg(*exprs).first()
-        for i, c in enumerate(asked[k : k + CHUNK]):
-            counts[c] = row[f"n{i}"]
-            if out[c] == "str" and row[f"n{i}"] and not row[f"d{i}"]:
-                out[c] = "date"
-    return {c: "none" if counts.get(c, 1) == 0 else kind for c, kind in out.items() if c in df.columns}
+    bad: dict[str, int] = {}
+    for rows in (df.limit(PROBE), df):
+        open_ = [c for c in asked if not counts.get(c) or out[c] == "str" and not bad.get(c)]
+        for k in range(0, len(open_), CHUNK):
+            part = open_[k : k + CHUNK]
+            no_date = lambda c: F.count_if(F.col(f"`{c}`").isNotNull() & parse_date(F.col(f"`{c}`")).isNull()) if out[c] == "str" else F.lit(0)
+            row = rows.agg(*(x for i, c in enumerate(part) for x in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), no_date(c).alias(f"d{i}")))).first()
+            counts |= {c: row[f"n{i}"] for i, c in enumerate(part)}
+            bad |= {c: row[f"d{i}"] for i, c in enumerate(part)}
+    for c in asked:
+        if out[c] == "str" and counts[c] and not bad[c]:
+            out[c] = "date"
+    return {c: "none" if counts.get(c, 1) == 0 else kind for c, kind in out.items()}
 
 
 def roles(df: DataFrame) -> Roles:
