@@ -10,14 +10,14 @@ from gritsieve.operators.duplicates import deduplicated
 from gritsieve.plans.ledger import IDX, finding
 
 
-def empty_rows(df: DataFrame, thresh_row_1: float = 0.7, thresh_row_2: float = 0.5, thresh_col: float = 0.8) -> DataFrame:
+def empty_rows(df: DataFrame, thresh_row_1: float = 0.7, thresh_row_2: float = 0.5, thresh_col: float = 0.8, rows: DataFrame | None = None) -> DataFrame:
     """``(_idx, fraction)`` of first rows whose share of nulls reaches both bounds.
 
     The first bound is on all columns, the second on those with a share of nulls below
     ``thresh_col`` among first rows; if there are none, no row is returned.
     """
     columns = data_columns(df)
-    rows = deduplicated(df)
+    rows = deduplicated(df) if rows is None else rows
     full = [c for c, f in null_fractions(rows, columns).items() if f is not None and f < thresh_col]
     if not full:
         return df.select(IDX, F.lit(0.0).alias("fraction")).limit(0)
@@ -30,5 +30,5 @@ def empty_columns(df: DataFrame, thresh_col: float = 0.99, clean_dup: bool = Fal
     return [c for c, f in null_fractions(rows, data_columns(df)).items() if f is not None and f >= thresh_col]
 
 
-def check_completeness(df: DataFrame, thresh_row_1: float = 0.7, thresh_row_2: float = 0.5, thresh_col: float = 0.8) -> DataFrame:
-    return finding(empty_rows(df, thresh_row_1, thresh_row_2, thresh_col), "completeness", "empty", F.lit("All"))
+def check_completeness(df: DataFrame, thresh_row_1: float = 0.7, thresh_row_2: float = 0.5, thresh_col: float = 0.8, rows: DataFrame | None = None) -> DataFrame:
+    return finding(empty_rows(df, thresh_row_1, thresh_row_2, thresh_col, rows), "completeness", "empty", F.lit("All"))

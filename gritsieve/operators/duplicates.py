@@ -39,9 +39,14 @@ def duplicated(df: DataFrame, keep: str | bool = "first") -> DataFrame:
     return copies(df).select(IDX, flag.alias("duplicated"))
 
 
-def deduplicated(df: DataFrame) -> DataFrame:
-    """The first row of each group of equal rows."""
-    later = copies(df).filter(F.col(IDX) != F.col("first")).select(IDX)
+def repeated(df: DataFrame) -> DataFrame:
+    """:func:`copies` of the rows that occur more than once; in most tables they are few."""
+    return copies(df).filter("n > 1")
+
+
+def deduplicated(df: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The first row of each group of equal rows; ``groups``: what :func:`repeated` has found."""
+    later = (repeated(df) if groups is None else groups).filter(F.col(IDX) != F.col("first")).select(IDX)
     return df.join(later, IDX, "left_anti")
 
 
@@ -51,13 +56,13 @@ def split_duplicates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.join(later, IDX, "left_anti"), df.join(later, IDX, "left_semi")
 
 
-def check_duplication(df: DataFrame, semantics: str = "reference") -> DataFrame:
+def check_duplication(df: DataFrame, semantics: str = "reference", groups: DataFrame | None = None) -> DataFrame:
     """Later copies, each with a first row.
 
     ``strict`` pairs each copy with its own first row.  ``reference`` pairs the sorted list of
     later copies with that of repeated first rows, position by position, up to the shorter.
     """
-    c = copies(df).filter("n > 1")
+    c = repeated(df) if groups is None else groups
     if semantics == "strict":
         pairs = c.filter(F.col(IDX) != F.col("first")).select(IDX, "first")
     else:

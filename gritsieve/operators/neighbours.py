@@ -119,19 +119,19 @@ def lof_scores(points: DataFrame, columns: list[str], k: int = 20, metric: str =
     return nb.join(of, "j").groupBy("i").agg(F.avg("lrd_j").alias("m")).join(lrd, "i").select(F.col("i").alias(IDX), (F.col("m") / F.col("lrd")).alias("lof"))
 
 
-def complete(df: DataFrame, roles: Roles, impute_k: int = 10) -> tuple[DataFrame, list[str]]:
+def complete(df: DataFrame, roles: Roles, impute_k: int = 10, rows: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """The number columns without nulls: as they are, or of first rows and imputed where any is null."""
     view = numeric_view(df, roles)
     columns = roles.numbers
     if not columns:
         return view, []
     row = view.agg(*(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns))).first()
-    return (knn_impute(df, roles, impute_k), columns) if any(row) else (view, columns)
+    return (knn_impute(df, roles, impute_k, rows), columns) if any(row) else (view, columns)
 
 
-def outlier_lof(df: DataFrame, roles: Roles, n_neighbors: int = 20, contamination: float = 0.0005, metric: str = "chebyshev", impute_k: int = 10) -> DataFrame:
+def outlier_lof(df: DataFrame, roles: Roles, n_neighbors: int = 20, contamination: float = 0.0005, metric: str = "chebyshev", impute_k: int = 10, rows: DataFrame | None = None) -> DataFrame:
     """``(_idx, lof, flagged, normalized)`` of every point; flagged below the percentile of negative factors."""
-    points, columns = complete(df, roles, impute_k)
+    points, columns = complete(df, roles, impute_k, rows)
     if not columns:
         return df.select(IDX, F.lit(0.0).alias("lof"), F.lit(False).alias("flagged"), F.lit(0.0).alias("normalized")).limit(0)
     scores = materialize(lof_scores(points, columns, n_neighbors, metric))
@@ -147,14 +147,14 @@ def check_outlier(df: DataFrame, roles: Roles, **params) -> DataFrame:
     return finding(outlier_lof(df, roles, **params).filter("flagged"), "outlier", "Outlier", F.lit("NA"))
 
 
-def knn_impute(df: DataFrame, roles: Roles, k: int = 10) -> DataFrame:
+def knn_impute(df: DataFrame, roles: Roles, k: int = 10, rows: DataFrame | None = None) -> DataFrame:
     """The number columns of first rows, nulls filled with the mean of the k nearest donors.
 
     Distances pass over missing coordinates and are scaled up for them.  A donor has the
     column in question; ties go to the smaller id.  Columns without any value are dropped.
     Rows with gaps are held against all rows in blocks of ``GAPS_AT_ONCE``.
     """
-    view = materialize(numeric_view(deduplicated(df), roles))
+    view = materialize(numeric_view(deduplicated(df) if rows is None else rows, roles))
     counts = view.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(roles.numbers)), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(roles.numbers))).first()
     columns = [c for i, c in enumerate(roles.numbers) if counts[f"n{i}"]]
     means = {c: counts[f"m{i}"] for i, c in enumerate(roles.numbers)}

@@ -30,16 +30,16 @@ def z_score(df: DataFrame, column: str, uniqueness_ratio: float, thresh_std: flo
     return rows.crossJoin(F.broadcast(stats)).filter(beyond(F.col("value"), F.col("_mean"), F.col("_std"), thresh_std, semantics)).select(IDX, "value")  # one row of statistics
 
 
-def check_extreme_value(df: DataFrame, roles: Roles, uniq: dict[str, float], thresh_std: float = 6, thresh_unique1: float = 0.99, thresh_unique2: float = 0.0001, semantics: str = "reference") -> DataFrame:
+def check_extreme_value(df: DataFrame, roles: Roles, uniq: dict[str, float], thresh_std: float = 6, thresh_unique1: float = 0.99, thresh_unique2: float = 0.0001, semantics: str = "reference", rows: DataFrame | None = None) -> DataFrame:
     """Extreme values of all number columns: one aggregate for the statistics, one pass for the values."""
     columns = [c for c in roles.numbers if thresh_unique2 <= uniq[c] <= thresh_unique1]
     if not columns:
         return empty(df.sparkSession)
-    view = numeric_view(deduplicated(df), roles, columns)
+    view = numeric_view(deduplicated(df) if rows is None else rows, roles, columns)
     stats = view.agg(*(x for i, c in enumerate(columns) for x in (F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}"))))
     flagged = F.array(*(F.when(F.col(c).isNotNull() & beyond(F.col(c), F.col(f"_m{i}"), F.col(f"_s{i}"), thresh_std, semantics), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for i, c in enumerate(columns)))
-    rows = view.crossJoin(F.broadcast(stats)).select(IDX, F.explode(F.filter(flagged, lambda x: x.isNotNull())).alias("f")).select(IDX, "f.*")  # one row of statistics
-    return finding(rows, "extreme_value", "extreme", F.col("column"), value1=F.col("value"), num1=F.col("value"))
+    found = view.crossJoin(F.broadcast(stats)).select(IDX, F.explode(F.filter(flagged, lambda x: x.isNotNull())).alias("f")).select(IDX, "f.*")  # one row of statistics
+    return finding(found, "extreme_value", "extreme", F.col("column"), value1=F.col("value"), num1=F.col("value"))
 
 
 def ordered_pairs(view: DataFrame, columns: list[str], thresh: float = 0.999) -> list[tuple[str, str]]:

@@ -161,11 +161,11 @@ def vocabularies(rows: DataFrame, columns: list[str]) -> DataFrame:
     return texts.filter("word is not null").groupBy("column", "word").agg(F.count("*").alias("n"))
 
 
-def check_typo(df: DataFrame, roles: Roles, uniq: dict[str, float], tresh_unique: float = 0.005, tresh_typo_frequency: int = 10, method: str = "affinity_propagation", affinity: str = "precomputed", damping: float = 0.5, random_state: int | None = None, **kwargs) -> DataFrame:
+def check_typo(df: DataFrame, roles: Roles, uniq: dict[str, float], tresh_unique: float = 0.005, tresh_typo_frequency: int = 10, method: str = "affinity_propagation", affinity: str = "precomputed", damping: float = 0.5, random_state: int | None = None, rows: DataFrame | None = None, **kwargs) -> DataFrame:
     columns = [c for c in roles.strings if uniq[c] <= tresh_unique]
     if not columns:
         return empty(df.sparkSession)
-    rows = deduplicated(df)
+    rows = deduplicated(df) if rows is None else rows
     vocab = materialize(vocabularies(rows, columns))
     rare = rare_words(materialize(clustered(vocab, method, affinity, damping, random_state, **kwargs)), tresh_typo_frequency).select("column", "word")
     texts = rows.select(IDX, *(F.col(c).cast("string").alias(c) for c in columns)).unpivot([IDX], columns, "column", "word")

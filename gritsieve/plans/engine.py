@@ -48,6 +48,7 @@ class DataQuality:
         self._corr: dict[str, list[str]] | None = None
         self._ledger: DataFrame | None = None
         self._good: DataFrame | None = None
+        self._groups: DataFrame | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, drop_first_col: bool = True, index_col: str | None = None, semantics: str = "reference", persist: bool = False, **options) -> DataQuality:
@@ -110,6 +111,17 @@ class DataQuality:
     def metadata(self) -> DataFrame:
         return profile.kinds_table(self.data)
 
+    @property
+    def groups(self) -> DataFrame:
+        """Rows that occur more than once; found once for all checks."""
+        if self._groups is None:
+            self._groups = materialize(duplicates.repeated(self.data))
+        return self._groups
+
+    @property
+    def first_rows(self) -> DataFrame:
+        return duplicates.deduplicated(self.data, self.groups)
+
     # state
 
     @property
@@ -146,22 +158,22 @@ class DataQuality:
     # checks
 
     def check_duplication(self) -> DataFrame:
-        return self._add(duplicates.check_duplication(self.data, self.semantics))
+        return self._add(duplicates.check_duplication(self.data, self.semantics, self.groups))
 
     def check_typo(self, **params) -> DataFrame:
-        return self._add(typos.check_typo(self.data, self.roles, self.uniq_col, **_named(params)))
+        return self._add(typos.check_typo(self.data, self.roles, self.uniq_col, rows=self.first_rows, **_named(params)))
 
     def check_extreme_value(self, thresh_std: float = 6, thresh_unique1: float = 0.99, thresh_unique2: float = 0.0001) -> DataFrame:
-        return self._add(numeric.check_extreme_value(self.data, self.roles, self.uniq_col, thresh_std, thresh_unique1, thresh_unique2, self.semantics))
+        return self._add(numeric.check_extreme_value(self.data, self.roles, self.uniq_col, thresh_std, thresh_unique1, thresh_unique2, self.semantics, self.first_rows))
 
     def check_completeness(self, thresh_row_1: float = 0.7, thresh_row_2: float = 0.5, thresh_col: float = 0.8) -> DataFrame:
-        return self._add(completeness.check_completeness(self.data, thresh_row_1, thresh_row_2, thresh_col))
+        return self._add(completeness.check_completeness(self.data, thresh_row_1, thresh_row_2, thresh_col, self.first_rows))
 
     def check_tendency(self, **params) -> DataFrame:
         return self._add(numeric.check_tendency(self.data, self.roles, **_named(params)))
 
     def check_outlier(self, **params) -> DataFrame:
-        return self._add(neighbours.check_outlier(self.data, self.roles, **params))
+        return self._add(neighbours.check_outlier(self.data, self.roles, rows=self.first_rows, **params))
 
     def check_logic(self, **params) -> DataFrame:
         return self._add(categories.check_logic(self.good_rows(), self.roles, self.uniq_col, self.corr_col, **_named(params)))
@@ -191,10 +203,10 @@ class DataQuality:
     # others
 
     def imputation(self, impute_k: int = 10) -> DataFrame:
-        return neighbours.knn_impute(self.data, self.roles, impute_k)
+        return neighbours.knn_impute(self.data, self.roles, impute_k, self.first_rows)
 
     def outlier_lof(self, **params) -> DataFrame:
-        return neighbours.outlier_lof(self.data, self.roles, **params)
+        return neighbours.outlier_lof(self.data, self.roles, rows=self.first_rows, **params)
 
     def col_combined_result(self, col1_name: str, col2_name: str, first_pass: bool = False) -> DataFrame:
         """Two columns without rows that were flagged for them; ``first_pass`` runs the first pass before."""
