@@ -64,7 +64,8 @@ def check_mixed_logic(good: DataFrame, roles: Roles, uniq: dict[str, float], thr
 def combined_columns(df: DataFrame, ledger: DataFrame, col1: str, col2: str) -> DataFrame:
     """Two columns, without rows that are flagged for either or as duplicates, and without nulls."""
     flagged = ledger.filter(F.col("column").isin(col1, col2) | F.col("column2").isin(col1, col2) | (F.col("errtype") == "duplication")).select(F.col("idx").alias(IDX)).distinct()
-    return df.select(IDX, col1, col2).join(flagged, IDX, "left_anti").dropna(subset=[col1, col2])
+    full = df.select(IDX, col1, col2).filter(F.col(col1).isNotNull() & F.col(col2).isNotNull())
+    return full.join(flagged, IDX, "left_anti")
 
 
 def dual_hist(rows: DataFrame, uniq: dict[str, float], col1: str, col2: str, unique_tresh: float = 0.7) -> DataFrame:
