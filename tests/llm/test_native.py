@@ -133,3 +133,10 @@ def test_every_rule_has_the_query_that_it_can_have():
 
 def test_empty_table(spark):
     assert secrets.scan(docs(spark, [])).count() == 0 and secrets.redact(docs(spark, [])).count() == 0
+
+
+def test_plans_hold_no_python(spark):
+    df = docs(spark, CASES["even"]).repartition(2)
+    for out in (secrets.scan(df), secrets.redact(df), mixing.sizes(df), mixing.positions(mixing.sizes(df), mixing.targets(mixing.sizes(df)))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
