@@ -10,7 +10,7 @@ The score is the alignment's, divided by that of the item with itself.
 What is broadcast is the test set, whose words are counted first: items are dealt out into
 blocks of at most ``BLOCK_WORDS`` words, and each block is held against all documents.
 
-Words are runs of letters and digits, lower-cased.  Defined cases: null or wordless texts
+Words are lower-cased and parted by blanks, ASCII marks and common other marks.  Defined cases: null or wordless texts
 have no hits; items that are null or have fewer than three words are not looked for; items
 with equal texts are found each; rows that repeat an id are searched each, and the best
 score of an (id, item) pair is returned.  Further columns are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+")
+#: ASCII bytes that are no letters or digits part words, A-Z are lower-cased; other marks are blanked before.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
 N, RUN = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a leak.
 LEAK = 0.5
 BLOCK_WORDS = 2_000_000
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
 
 
-def codes(text: str | None, hashes: dict) -> np.ndarray:
-    words = WORD.findall(text.lower()) if text else []
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def split(text: str | None) -> list[bytes]:
+    if not text:
+        return []
+    if not text.isascii():
+        text = _MARKS.sub(" ", text.lower())
+    return text.encode().translate(_PLAIN).split()
+
+
+def codes(texts: list[str | None], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Word codes of all texts one after the other, and how many each has."""
+    words = [split(t) for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum())), n
 
 
 def grams(w: np.ndarray) -> np.ndarray:
@@ -59,6 +72,30 @@ def grams(w: np.ndarray) -> np.ndarray:
     return out
 
 
+class Filter:
+    """Finds, among many trigrams, those of a sorted table; most others fall out by one lookup."""
+
+    BITS = 22
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[table >> np.uint64(64 - self.BITS)] = True
+
+    def find(self, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and table places of all hits; ``w``, ``n``: what :func:`codes` gives."""
+        g = grams(w)
+        at = np.flatnonzero(self.maybe[g >> np.uint64(64 - self.BITS)])
+        place = np.searchsorted(self.table, g[at])
+        place[place == len(self.table)] = 0
+        ok = self.table[place] == g[at] if len(self.table) else np.zeros(len(at), bool)
+        at, place = at[ok], place[ok]
+        stop = np.cumsum(n)
+        text = np.searchsorted(stop, at, side="right")
+        inside = np.searchsorted(stop, at + N - 1, side="right") == text
+        return text[inside], place[inside]
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman over word codes: the best score and where in the passage it ends."""
     at = np.arange(len(passage) + 1, dtype=np.int64)
@@ -82,7 +119,7 @@ class Items:
     def __init__(self, rows: list[tuple]):
         hashes = _Hashes()
         self.ids = [i for i, _ in rows]
-        self.words = [codes(t, hashes) for _, t in rows]
+        self.words = [codes([t], hashes)[0] for _, t in rows]
         g = [grams(w) for w in self.words]
         self.gram = np.concatenate(g) if g else np.empty(0, np.uint64)
         self.item = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -102,6 +139,7 @@ class Items:
         order = np.flatnonzero(chosen)
         order = order[np.argsort(self.gram[order], kind="stable")]
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
+        self.seeds = np.unique(self.gram)
 
     def search(self, w: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, number of words) of the best passage of each item that has a hit."""
@@ -134,7 +172,7 @@ def blocks(benchmark: DataFrame) -> list[Items]:
     out: list[Items] = []
     rows, n = [], 0
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
-        k = len(WORD.findall(r.text))
+        k = len(split(r.text))
         if k < N:
             continue
         if rows and n + k > BLOCK_WORDS:
@@ -145,22 +183,36 @@ def blocks(benchmark: DataFrame) -> list[Items]:
     return [*out, Items(rows)] if rows else out
 
 
+#: Texts that are coded together.
+TOGETHER = 250
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER))
+
+
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct, hashes = shared.value, _Hashes()
-        n = np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                g = np.unique(grams(codes(text.as_py(), hashes)))
-                at = np.searchsorted(distinct, g)
-                at[at == len(distinct)] = 0
-                n[at[distinct[at] == g]] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+        table, hashes = Filter(shared.value), _Hashes()
+        count = np.zeros(len(table.table), np.int64)
+        for batch in _pieces(batches):
+            text, place = table.find(*codes(batch.column(0).to_pylist(), hashes))
+            pairs = np.unique(text * len(count) + place)
+            np.add.at(count, pairs % max(len(count), 1), 1)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["at", "n"])
 
     return run
 
 
+def _found(items: Items, hashes: dict, table: Filter, texts: list[str | None]) -> Iterator[tuple[int, list]]:
+    """Of each text with a seed, its number and what :meth:`Items.search` finds."""
+    w, n = codes(texts, hashes)
+    stop = np.cumsum(n)
+    for k in np.unique(table.find(w, n)[0]).tolist():
+        yield k, items.search(w[stop[k] - n[k] : stop[k]])
+
+
 def seeded(docs: DataFrame, benchmark: DataFrame) -> list:
     """Broadcasts of the blocks of items, with the seeds that are rarest in ``docs``."""
     spark, out = docs.sparkSession, []
@@ -177,8 +229,9 @@ def seeded(docs: DataFrame, benchmark: DataFrame) -> list:
 def _leaks(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, hashes = shared.value, _Hashes()
-        for batch in batches:
-            found = [(k, i, *v) for k, text in enumerate(batch.column(1)) for i, *v in items.search(codes(text.as_py(), hashes)) if v[0] >= least]
+        table = Filter(items.seeds)
+        for batch in _pieces(batches):
+            found = [(k, i, *v) for k, hits in _found(items, hashes, table, batch.column(1).to_pylist()) for i, *v in hits if v[0] >= least]
             k = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(k), pa.array([items.ids[x[1]] for x in found], pa.int64()), *(pa.array([x[j] for x in found], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
@@ -207,8 +260,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) ->
     def clean(shared, at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, hashes = shared.value, _Hashes()
-            for batch in batches:
-                yield batch.filter(pa.array([all(v[1] < least for v in items.search(codes(t.as_py(), hashes))) for t in batch.column(at)], pa.bool_()))
+            table = Filter(items.seeds)
+            for batch in _pieces(batches):
+                clean = np.ones(batch.num_rows, bool)
+                for k, hits in _found(items, hashes, table, batch.column(at).to_pylist()):
+                    clean[k] = all(v[1] < least for v in hits)
+                yield batch.filter(pa.array(clean))
 
         return run
 
