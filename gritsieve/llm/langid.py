@@ -38,7 +38,7 @@ SMOOTH = 0.5
 #: A script belongs to a language if at least this share of its letters is in that script.
 SCRIPT_SHARE = 0.01
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Last code points of Unicode script ranges, with the script's name.

@@ -39,7 +39,7 @@ PERCENT = 75
 #: Least estimated similarity of a candidate; 0.75 lies 5 standard deviations above it.
 FLOOR = 0.55
 #: Word hashes that a worker remembers.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Members of a bucket that are compared in one group.
 CHUNK_ROWS = 512
 
