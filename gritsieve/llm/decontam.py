@@ -20,11 +20,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,30 +34,69 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a leak.
 LEAK = 0.5
 BLOCK_WORDS = 2_000_000
-MEMORY = 150_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+#: Odd, so it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once; a word beyond that length is cut.
+_WINDOW = 1 << 20
 
 
-def split(text: str | None) -> list[bytes]:
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(2 * _WINDOW + 1, np.uint64)
+    out[0] = 1
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
+
+
+_UP: list[np.ndarray] = []
+
+
+def plain(text: str | None) -> bytes:
+    """The text with a blank between words."""
     if not text:
-        return []
+        return b""
     if not text.isascii():
         text = _MARKS.sub(" ", text.lower())
-    return text.encode().translate(_PLAIN).split()
+    return text.encode().translate(_PLAIN)
+
+
+def _word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of a window of bytes, and where they begin.
+
+    The code is a polynomial in the word's bytes: a difference of running sums of bytes
+    times powers, brought back to the word's own beginning by the inverse power.
+    """
+    if not _UP:
+        _UP.extend((_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))))
+    blank = data == 32
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[0][: len(data)], out=sums[1:])
+    code = (sums[stop] - sums[start]) * _UP[1][start]
+    code ^= code >> np.uint64(31)
+    code *= np.uint64(0xBF58476D1CE4E5B9)
+    return code ^ (code >> np.uint64(29)), start
 
 
-def codes(texts: list[str | None], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word codes of all texts one after the other, and how many each has."""
-    words = [split(t) for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum())), n
+    parts = [plain(t) for t in texts]
+    joined = b" ".join(parts)
+    out, begins, at = [], [], 0
+    while at < len(joined):
+        stop = len(joined)
+        if stop - at > _WINDOW:
+            stop = joined.find(b" ", at + _WINDOW, at + 2 * _WINDOW)
+            stop = at + 2 * _WINDOW if stop < 0 else stop
+        c, start = _word_codes(np.frombuffer(joined, np.uint8, stop - at, at))
+        out.append(c), begins.append(start + at)
+        at = stop
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    begin = np.concatenate(begins) if begins else np.empty(0, np.int64)
+    n = np.diff(np.searchsorted(begin, ends), prepend=0)
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), n
 
 
 def grams(w: np.ndarray) -> np.ndarray:
@@ -117,9 +154,8 @@ class Items:
     """A block of test items with its trigrams, and seeds once they are chosen."""
 
     def __init__(self, rows: list[tuple]):
-        hashes = _Hashes()
         self.ids = [i for i, _ in rows]
-        self.words = [codes([t], hashes)[0] for _, t in rows]
+        self.words = [codes([t])[0] for _, t in rows]
         g = [grams(w) for w in self.words]
         self.gram = np.concatenate(g) if g else np.empty(0, np.uint64)
         self.item = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -167,20 +203,20 @@ class Items:
         return [(i, *v) for i, v in best.items()]
 
 
-def blocks(benchmark: DataFrame) -> list[Items]:
-    """The test items in blocks of a bounded number of words, read block by block."""
-    out: list[Items] = []
+def blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The test items in blocks of a bounded number of words; the driver holds one at a time."""
     rows, n = [], 0
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
-        k = len(split(r.text))
+        k = len(plain(r.text).split())
         if k < N:
             continue
         if rows and n + k > BLOCK_WORDS:
-            out.append(Items(rows))
+            yield Items(rows)
             rows, n = [], 0
         rows.append((r.item_id, r.text))
         n += k
-    return [*out, Items(rows)] if rows else out
+    if rows:
+        yield Items(rows)
 
 
 #: Texts that are coded together.
@@ -193,10 +229,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = Filter(shared.value), _Hashes()
+        table = Filter(shared.value)
         count = np.zeros(len(table.table), np.int64)
         for batch in _pieces(batches):
-            text, place = table.find(*codes(batch.column(0).to_pylist(), hashes))
+            text, place = table.find(*codes(batch.column(0).to_pylist()))
             pairs = np.unique(text * len(count) + place)
             np.add.at(count, pairs % max(len(count), 1), 1)
         at = np.flatnonzero(count)
@@ -205,9 +241,9 @@ def _frequencies(shared):
     return run
 
 
-def _found(items: Items, hashes: dict, table: Filter, texts: list[str | None]) -> Iterator[tuple[int, list]]:
+def _found(items: Items, table: Filter, texts: list[str | None]) -> Iterator[tuple[int, list]]:
     """Of each text with a seed, its number and what :meth:`Items.search` finds."""
-    w, n = codes(texts, hashes)
+    w, n = codes(texts)
     stop = np.cumsum(n)
     for k in np.unique(table.find(w, n)[0]).tolist():
         yield k, items.search(w[stop[k] - n[k] : stop[k]])
@@ -218,7 +254,7 @@ def seeded(docs: DataFrame, benchmark: DataFrame) -> list:
     spark, out = docs.sparkSession, []
     for b in blocks(benchmark):
         shared = spark.sparkContext.broadcast(b.distinct)
-        got = docs.select("text").mapInArrow(_frequencies(shared), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+        got = docs.select("text").mapInArrow(_frequencies(shared), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(len(b.distinct), np.int64)
         n[got["at"].to_numpy()] = got["n"].to_numpy()
         b.choose(n)
@@ -228,10 +264,10 @@ def seeded(docs: DataFrame, benchmark: DataFrame) -> list:
 
 def _leaks(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashes = shared.value, _Hashes()
+        items = shared.value
         table = Filter(items.seeds)
         for batch in _pieces(batches):
-            found = [(k, i, *v) for k, hits in _found(items, hashes, table, batch.column(1).to_pylist()) for i, *v in hits if v[0] >= least]
+            found = [(k, i, *v) for k, hits in _found(items, table, batch.column(1).to_pylist()) for i, *v in hits if v[0] >= least]
             k = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(k), pa.array([items.ids[x[1]] for x in found], pa.int64()), *(pa.array([x[j] for x in found], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
@@ -259,11 +295,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) ->
 
     def clean(shared, at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, hashes = shared.value, _Hashes()
+            items = shared.value
             table = Filter(items.seeds)
             for batch in _pieces(batches):
                 clean = np.ones(batch.num_rows, bool)
-                for k, hits in _found(items, hashes, table, batch.column(at).to_pylist()):
+                for k, hits in _found(items, table, batch.column(at).to_pylist()):
                     clean[k] = all(v[1] < least for v in hits)
                 yield batch.filter(pa.array(clean))
 

@@ -172,6 +172,17 @@ def test_decontamination(spark):
     assert decontam.leaks(df, benchmark(spark, [])).count() == 0 and decontam.decontaminate(docs(spark, []), b).count() == 0
 
 
+def test_word_codes(monkeypatch):
+    texts = ["Ab c, d!", None, "", "é« x » y", "one " * 100, "c ab D", "one\u2014ab"]
+    whole, n = decontam.codes(texts)
+    assert list(n) == [3, 0, 0, 3, 100, 3, 2]
+    first = np.cumsum(n) - n
+    assert list(whole[:3]) == list(whole[first[5] :][[1, 0, 2]]) and len(set(whole[first[4] : first[5]])) == 1
+    assert whole[first[6]] == whole[first[4]] and whole[first[6] + 1] == whole[0] and len(set(whole)) == 7
+    monkeypatch.setattr(decontam, "_WINDOW", 16)
+    assert np.array_equal(decontam.codes(texts)[0], whole)
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 30)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(7)]
