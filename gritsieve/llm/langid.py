@@ -105,7 +105,7 @@ def learn(training: DataFrame) -> Model:
     What reaches the driver is at most ``CELLS`` sums for each language.
     """
     rows = training.filter("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, cell long, n long")
-    got = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     counts = np.zeros((CELLS + len(_NAMES), max(1, len(langs))))
     for k, lang in enumerate(langs):
