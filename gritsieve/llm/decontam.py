@@ -1,10 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Test items are cut into word trigrams.  A first pass over all documents counts in how many
-each of these trigrams occurs; in every run of ``RUN`` consecutive trigrams of an item the
-rarest one becomes a seed, so that a copied stretch of ``RUN + 2`` words always holds one,
-while common phrases rarely do.  A second pass looks seeds up in the documents; hits
-of one item on near diagonals make a passage, which is aligned with the item word by word.
+"""Benchmark decontamination: counts of shared word pairs, then Smith-Waterman alignment.
+
+An alignment is a chain of matched words.  Two matches that follow each other, the second
+``a`` words on in the item and ``b`` in the document, add 2 less max(a, b) - 1 to the score;
+so only links with ``a`` and ``b`` of 1 or 2 add anything, 2 if both are 1 and else 1, and
+the first match adds 2.  Hence a score of ``s`` needs links worth ``s - 2``, each from
+another word of the item, inside a stretch of 3 m - s words (m: words of the item).  Pairs
+of words one or two places apart are looked up in the documents, and (document, item) pairs
+are aligned word by word where a stretch holds links enough: none with a score of ``least``
+or more is lost, wherever the edits stand.  A first pass over all documents counts the
+pairs, so that the commonest ones need no look-up: leaving out ``r`` words of an item lowers
+what is asked of the others by 2 r.
 The score is the alignment's, divided by that of the item with itself.
 
 What is broadcast is the test set, whose words are counted first: items are dealt out into
@@ -18,6 +23,7 @@ score of an (id, item) pair is returned.  Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,11 +35,16 @@ from pyspark.sql import functions as F
 #: ASCII bytes that are no letters or digits part words, A-Z are lower-cased; other marks are blanked before.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
-N, RUN = 3, 4
+#: Fewest words of an item.
+N = 3
+#: Words between linked matches, in the item and in the document.
+GAPS = (1, 2)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a leak.
 LEAK = 0.5
 BLOCK_WORDS = 2_000_000
+#: Links that are weighed at once, unless one text has more.
+MOST_LINKS = 2_000_000
 
 
 #: Odd, so it has an inverse modulo 2**64.
@@ -99,18 +110,16 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), n
 
 
-def grams(w: np.ndarray) -> np.ndarray:
-    if len(w) < N:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(w) - N + 1, np.uint64)
-    for k in range(N):
-        out = (out ^ w[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out
+def pairs(w: np.ndarray, gap: int) -> np.ndarray:
+    """Codes of all pairs of words that stand ``gap`` places apart."""
+    out = w[:-gap] * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out = (out ^ w[gap:]) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(32))
 
 
 class Filter:
-    """Finds, among many trigrams, those of a sorted table; most others fall out by one lookup."""
+    """Finds, among many word pairs, those of a sorted table; most others fall out by one lookup."""
 
     BITS = 22
 
@@ -119,18 +128,20 @@ class Filter:
         self.maybe = np.zeros(1 << self.BITS, bool)
         self.maybe[table >> np.uint64(64 - self.BITS)] = True
 
-    def find(self, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts and table places of all hits; ``w``, ``n``: what :func:`codes` gives."""
-        g = grams(w)
-        at = np.flatnonzero(self.maybe[g >> np.uint64(64 - self.BITS)])
-        place = np.searchsorted(self.table, g[at])
-        place[place == len(self.table)] = 0
-        ok = self.table[place] == g[at] if len(self.table) else np.zeros(len(at), bool)
-        at, place = at[ok], place[ok]
-        stop = np.cumsum(n)
-        text = np.searchsorted(stop, at, side="right")
-        inside = np.searchsorted(stop, at + N - 1, side="right") == text
-        return text[inside], place[inside]
+    def find(self, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, table places, first words and gaps of all hits; ``w``, ``n``: what :func:`codes` gives."""
+        stop, out = np.cumsum(n), []
+        for gap in GAPS:
+            g = pairs(w, gap)
+            at = np.flatnonzero(self.maybe[g >> np.uint64(64 - self.BITS)])
+            place = np.searchsorted(self.table, g[at])
+            place[place == len(self.table)] = 0
+            ok = self.table[place] == g[at] if len(self.table) else np.zeros(len(at), bool)
+            at, place = at[ok], place[ok]
+            text = np.searchsorted(stop, at, side="right")
+            inside = at + gap < stop[text]
+            out.append((text[inside], place[inside], at[inside], np.full(inside.sum(), gap)))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -151,59 +162,99 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of test items with its trigrams, and seeds once they are chosen."""
+    """A block of test items with their word pairs; those that are looked up once they are chosen."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], least: float = LEAK):
         self.ids = [i for i, _ in rows]
         self.words = [codes([t])[0] for _, t in rows]
-        g = [grams(w) for w in self.words]
-        self.gram = np.concatenate(g) if g else np.empty(0, np.uint64)
-        self.item = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        self.place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.empty(0, np.int64)
-        self.distinct = np.unique(self.gram)
+        m = np.array([len(w) for w in self.words], np.int64)
+        score = np.maximum(np.ceil(least * MATCH * m - 1e-9).astype(np.int64), 1)
+        self.need = score - MATCH  #: what links must be worth
+        self.span = np.maximum(3 * m - score, 1)  #: most words of an alignment with that score
+        links = [(pairs(w, gap), k, gap) for k, w in enumerate(self.words) for gap in GAPS]
+        n = [len(x) for x, _, _ in links]
+        self.pair = np.concatenate([x for x, _, _ in links])
+        self.item = np.repeat(np.array([k for _, k, _ in links], np.int32), n)
+        self.gap = np.repeat(np.array([gap for _, _, gap in links], np.int8), n)
+        self.place = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+        self.distinct = np.unique(self.pair)
 
     def choose(self, frequency: np.ndarray) -> None:
-        """Keeps the rarest trigram of every run; ``frequency`` goes with ``distinct``."""
-        n = frequency[np.searchsorted(self.distinct, self.gram)]
-        chosen = np.zeros(len(n), bool)
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.item == k) if len(self.ids) < 64 else np.arange(*np.searchsorted(self.item, [k, k + 1]))
-            for i in range(max(1, len(own) - RUN + 1)):
-                run = own[i : i + RUN]
-                if len(run):
-                    chosen[run[n[run].argmin()]] = True
-        order = np.flatnonzero(chosen)
-        order = order[np.argsort(self.gram[order], kind="stable")]
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-        self.seeds = np.unique(self.gram)
-
-    def search(self, w: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, number of words) of the best passage of each item that has a hit."""
-        g = grams(w)
-        lo, hi = np.searchsorted(self.gram, g), np.searchsorted(self.gram, g, side="right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            return []
-        n = (hi - lo)[hit]
-        where = np.repeat(hit, n)
-        seed = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[seed], where - self.place[seed]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        size = np.array([len(self.words[i]) for i in item])
-        cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diagonal) > size[1:] // 2)) + 1
-        best: dict[int, tuple[float, int, int]] = {}
-        for a, b in zip([0, *cut], [*cut, len(item)]):
-            i, m = int(item[a]), int(size[a])
-            start, stop = max(0, int(diagonal[a]) - m // 2), min(len(w), int(diagonal[b - 1]) + m + m // 2)
-            score, end = align(self.words[i], w[start:stop])
-            if score / (MATCH * m) > best.get(i, (0.0,))[0]:
-                first = max(0, start + end - m - m // 2)
-                best[i] = (score / (MATCH * m), first, start + end - first)
-        return [(i, *v) for i, v in best.items()]
-
-
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
+        """Leaves out the commonest pairs of each item, as far as half its need; ``frequency`` goes with ``distinct``."""
+        n = frequency[np.searchsorted(self.distinct, self.pair)]
+        first = np.concatenate([[0], np.cumsum([len(w) for w in self.words])])
+        word = first[self.item] + self.place
+        total = np.bincount(word, n, first[-1])
+        item = np.repeat(np.arange(len(self.ids)), np.diff(first))
+        order = np.lexsort((-total, item))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - first[item[order]]
+        out = np.maximum(self.need, 0) // 4
+        self.left = self.need - 2 * out
+        order = np.flatnonzero((rank >= out[item])[word] & (self.need > 0)[self.item])
+        order = order[np.argsort(self.pair[order], kind="stable")]
+        self.pair, self.item, self.place, self.gap = self.pair[order], self.item[order], self.place[order], self.gap[order]
+        self.seeds, self.begin = np.unique(self.pair, return_index=True)
+        self.begin = np.append(self.begin, len(self.pair))
+
+    def _stretches(self, text: np.ndarray, key: np.ndarray, at: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end) of the stretches with links enough; ``at`` counts from the text's beginning."""
+        lo, n = self.begin[key], self.begin[key + 1] - self.begin[key]
+        hit = np.repeat(np.arange(len(key)), n)
+        link = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = text[hit] * len(self.ids) + self.item[link]
+        worth = 1 + ((self.gap[link] == 1) & (gap[hit] == 1))
+        # all hits in a text first, for few items have enough of them
+        which, of = np.unique(both, return_inverse=True)
+        ok = (np.bincount(of, worth) >= self.left[which % len(self.ids)])[of]
+        hit, link, both, worth = hit[ok], link[ok], both[ok], worth[ok]
+        # windows of twice the span, beginning a span apart, hold every alignment; each word of the item counts once
+        span = self.span[self.item[link]]
+        window, place = at[hit] // span, self.place[link]
+        before = window > 0
+        both, place, worth = (np.concatenate([x, x[before]]) for x in (both, place, worth))
+        window = np.concatenate([window, window[before] - 1])
+        order = np.lexsort((worth, place, window, both))
+        both, window, place, worth = both[order], window[order], place[order], worth[order]
+        same = (np.diff(both) == 0) & (np.diff(window) == 0)
+        last = np.append(~(same & (np.diff(place) == 0)), True)[: len(both)]
+        group = np.cumsum(np.concatenate([[0], ~same]))[: len(both)]
+        total = np.bincount(group, worth * last)
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+        good = begin[total >= self.left[both[begin] % len(self.ids)]]
+        cut = np.flatnonzero((np.diff(both[good]) != 0) | (np.diff(window[good]) > 1)) + 1
+        for a, b in zip([0, *cut], [*cut, len(good)]) if len(good) else []:
+            t, i = divmod(int(both[good[a]]), len(self.ids))
+            yield t, i, int(window[good[a]] * self.span[i]), int((window[good[b - 1]] + 2) * self.span[i])
+
+    def search(self, table: Filter, w: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score, first word, number of words) of the best passage of an item in a text.
+
+        All passages with the least score or more are among them.  ``table`` is the filter of ``seeds``.
+        """
+        start = np.cumsum(n) - n
+        text, key, at, gap = table.find(w, n)
+        order = np.argsort(text, kind="stable")
+        text, key, at, gap = text[order], key[order], at[order] - start[text[order]], gap[order]
+        found = [(t, i, 0, int(n[t])) for i in np.flatnonzero(self.need <= 0).tolist() for t in np.flatnonzero(n).tolist()]
+        held = np.cumsum(self.begin[key + 1] - self.begin[key])
+        a = 0
+        while a < len(text):
+            b = int(np.searchsorted(held, (held[a - 1] if a else 0) + MOST_LINKS, side="right"))
+            b = max(int(np.searchsorted(text, text[min(b, len(text) - 1)])), int(np.searchsorted(text, text[a], side="right"))) if b < len(text) else b
+            found += self._stretches(text[a:b], key[a:b], at[a:b], gap[a:b])
+            a = b
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for t, i, first, stop in found:
+            m = len(self.words[i])
+            score, end = align(self.words[i], w[start[t] + first : start[t] + min(stop, n[t])])
+            if score / (MATCH * m) > best.get((t, i), (0.0,))[0]:
+                begin = max(0, first + end - max(m + m // 2, 3 * m - score))
+                best[t, i] = (score / (MATCH * m), begin, first + end - begin)
+        return ((t, i, *v) for (t, i), v in sorted(best.items()))
+
+
+def blocks(benchmark: DataFrame, least: float) -> Iterator[Items]:
     """The test items in blocks of a bounded number of words; the driver holds one at a time."""
     rows, n = [], 0
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
@@ -211,12 +262,12 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
         if k < N:
             continue
         if rows and n + k > BLOCK_WORDS:
-            yield Items(rows)
+            yield Items(rows, least)
             rows, n = [], 0
         rows.append((r.item_id, r.text))
         n += k
     if rows:
-        yield Items(rows)
+        yield Items(rows, least)
 
 
 #: Texts that are coded together.
@@ -232,27 +283,17 @@ def _frequencies(shared):
         table = Filter(shared.value)
         count = np.zeros(len(table.table), np.int64)
         for batch in _pieces(batches):
-            text, place = table.find(*codes(batch.column(0).to_pylist()))
-            pairs = np.unique(text * len(count) + place)
-            np.add.at(count, pairs % max(len(count), 1), 1)
+            np.add.at(count, table.find(*codes(batch.column(0).to_pylist()))[1], 1)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["at", "n"])
 
     return run
 
 
-def _found(items: Items, table: Filter, texts: list[str | None]) -> Iterator[tuple[int, list]]:
-    """Of each text with a seed, its number and what :meth:`Items.search` finds."""
-    w, n = codes(texts)
-    stop = np.cumsum(n)
-    for k in np.unique(table.find(w, n)[0]).tolist():
-        yield k, items.search(w[stop[k] - n[k] : stop[k]])
-
-
-def seeded(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcasts of the blocks of items, with the seeds that are rarest in ``docs``."""
+def seeded(docs: DataFrame, benchmark: DataFrame, least: float) -> list:
+    """Broadcasts of the blocks of items, without the pairs that are commonest in ``docs``."""
     spark, out = docs.sparkSession, []
-    for b in blocks(benchmark):
+    for b in blocks(benchmark, least):
         shared = spark.sparkContext.broadcast(b.distinct)
         got = docs.select("text").mapInArrow(_frequencies(shared), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         n = np.zeros(len(b.distinct), np.int64)
@@ -267,7 +308,7 @@ def _leaks(shared, least: float):
         items = shared.value
         table = Filter(items.seeds)
         for batch in _pieces(batches):
-            found = [(k, i, *v) for k, hits in _found(items, table, batch.column(1).to_pylist()) for i, *v in hits if v[0] >= least]
+            found = [x for x in items.search(table, *codes(batch.column(1).to_pylist())) if x[2] >= least]
             k = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(k), pa.array([items.ids[x[1]] for x in found], pa.int64()), *(pa.array([x[j] for x in found], t) for j, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
@@ -281,7 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
     """``(doc_id, item_id, score, first_word, n_words)``: which test items stand in which documents."""
     schema = "doc_id long, item_id long, score double, first_word long, n_words long"
     slim, out = docs.select(F.col("doc_id").cast("long"), "text"), None
-    for shared in seeded(docs, benchmark):
+    for shared in seeded(docs, benchmark, least):
         part = slim.mapInArrow(_leaks(shared, least), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -299,12 +340,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) ->
             table = Filter(items.seeds)
             for batch in _pieces(batches):
                 clean = np.ones(batch.num_rows, bool)
-                for k, hits in _found(items, table, batch.column(at).to_pylist()):
-                    clean[k] = all(v[1] < least for v in hits)
+                clean[[x[0] for x in items.search(table, *codes(batch.column(at).to_pylist())) if x[2] >= least]] = False
                 yield batch.filter(pa.array(clean))
 
         return run
 
-    for shared in seeded(docs, benchmark):
+    for shared in seeded(docs, benchmark, least):
         docs = docs.mapInArrow(clean(shared, docs.columns.index("text")), docs.schema)
     return docs

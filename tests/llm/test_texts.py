@@ -191,6 +191,32 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert decontam.decontaminate(df, benchmark(spark, items)).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.5, 0.3])
+def test_regular_edits_against_brute_force_alignment(spark, least):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([3, 4, 7, 20, 33, 60])]
+    rows = [(i, " ".join(word() for _ in range(200))) for i in range(40)]
+    for _, t in items:
+        for every in range(1, 8):
+            w = t.split()
+            replaced = [word() if j % every == 0 else x for j, x in enumerate(w)]
+            dropped = [x for j, x in enumerate(w) if j % every or every == 1]
+            added = [y for j, x in enumerate(w) for y in ([x, word()] if j % every == 0 else [x])]
+            for copy in (replaced, dropped, added):
+                rows.append((len(rows), " ".join([*(word() for _ in range(rng.randrange(90))), *copy, *(word() for _ in range(rng.randrange(90)))])))
+    rows += [(len(rows) + k, " ".join(f"w{rng.randrange(3)}" for _ in range(150))) for k in range(5)]
+    items += [(10 + k, " ".join(f"w{rng.randrange(6)}" for _ in range(12))) for k in range(5)]
+    want = {}
+    for i, t in rows:
+        for k, x in items:
+            score = decontam.align(decontam.codes([x])[0], decontam.codes([t])[0])[0] / (2 * len(x.split()))
+            if score >= least:
+                want[i, k] = score
+    got = decontam.leaks(docs(spark, [(*r, None) for r in rows]), benchmark(spark, items), least)
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == want and len(want) > 100
+
+
 def test_alignment_against_plain_recurrence():
     rng = np.random.default_rng(0)
     for _ in range(50):
