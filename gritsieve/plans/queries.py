@@ -250,8 +250,8 @@ def save_result_roundtrip(spark, sf):
 
 def read_json_roundtrip(spark, sf):
     path = f"{shared_dir(spark)}/nation-{spark.sparkContext.applicationId}.json"
-    table(spark, sf, "nation").write.mode("overwrite").json(path)
-    return tables.read(spark, path, multiLine=False).select("n_nationkey", "n_name", "n_regionkey")
+    table(spark, sf, "nation").repartition(4).write.mode("overwrite").json(path)
+    return tables.read(spark, path).select("n_nationkey", "n_name", "n_regionkey")
 
 
 def read_csv_roundtrip(spark, sf):

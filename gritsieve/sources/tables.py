@@ -67,11 +67,44 @@ def narrowed(raw: DataFrame) -> DataFrame:
     return raw.withColumns(out) if out else raw
 
 
+#: Options that say which files of a path are read.
+_LISTING = ("basepath", "pathglobfilter", "recursivefilelookup", "modifiedbefore", "modifiedafter")
+
+
+def _whole_files(spark: SparkSession, path: str, options: dict) -> tuple[list[str], list[str]]:
+    """The JSON files that hold one value over several lines, and the others, whose lines are values.
+
+    A value over several lines has a first line that is none.  So has a file of lines whose
+    first is broken, but that one as a whole is broken too.
+    """
+    listing = {k: v for k, v in options.items() if k.lower() in _LISTING}
+    name = lambda: F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file")
+    order = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.options(**listing).text(path).select(name(), F.get_json_object("value", "$").isNotNull().alias("whole"), order.alias("order"), F.trim("value").alias("text"))
+    first = lines.filter("text != ''").groupBy("file").agg(F.min_by("whole", "order").alias("whole")).collect()  # a row for each file
+    several, by_line = [r.file for r in first if not r.whole], [r.file for r in first if r.whole]
+    if several:
+        given = options | {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+        rows = spark.read.options(**given).schema("_broken string, _any string").json(several)
+        counts = rows.groupBy(name()).agg(F.count("_broken").alias("n"), F.count("_any"))  # Spark reads no broken records alone
+        broken = {r.file for r in counts.collect() if r.n}
+        several, by_line = [x for x in several if x not in broken], by_line + sorted(broken)
+    return several, by_line
+
+
 def _json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records, one to a line or in an array; or columns, ``{column: {label: value}}``."""
-    got = spark.read.options(**({"multiLine": True} | options)).json(path)
+    """Records, one to a line or in an array, decided file by file; or columns, ``{column: {label: value}}``."""
+    if any(k.lower() == "multiline" for k in options):
+        got = spark.read.options(**options).json(path)
+    else:
+        several, by_line = _whole_files(spark, path, options)
+        if several and by_line:
+            given = ({} if re.search(r"[*?{\[]", path) else {"basePath": path}) | options
+            got = spark.read.options(**given, multiLine=True).json(several).unionByName(spark.read.options(**given).json(by_line), allowMissingColumns=True)
+        else:
+            got = spark.read.options(**options, multiLine=not by_line).json(path)
     structs = [f for f in got.schema.fields if isinstance(f.dataType, T.StructType)]
-    if structs and len(structs) == len(got.schema.fields) and len({tuple(f.dataType.names) for f in structs}) == 1:
+    if structs and len(structs) == len(got.schema.fields) and len({tuple(f.dataType.names) for f in structs}) == 1 and len(got.head(2)) == 1:
         text = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
         data = json.loads(text)  # a table of one line by columns is a driver-side file
         labels = list(next(iter(data.values()), {}))
@@ -79,10 +112,6 @@ def _json(spark: SparkSession, path: str, **options) -> DataFrame:
         schema = T.StructType([T.StructField(c, kinds[c]) for c in data])
         cast = lambda c, v: float(v) if v is not None and isinstance(kinds[c], T.DoubleType) else v
         return spark.createDataFrame([tuple(cast(c, data[c][x]) for c in data) for x in labels], schema)
-    if not options.get("multiLine") and got.count() == 1 and len(spark.read.text(path).head(2)) == 2:
-        lines = spark.read.options(**(options | {"multiLine": False})).json(path)
-        if "_corrupt_record" not in lines.columns:
-            return lines
     return got
 
 

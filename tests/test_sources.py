@@ -34,6 +34,23 @@ def test_json_shapes(spark, tmp_path):
         assert sorted((r.a, r.b) for r in tables.read(spark, str(tmp_path / f"{name}.json")).collect()) == [(1, "x"), (2, None)], name
 
 
+def test_json_in_several_files(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 7 as v").repartition(4).write.json(str(tmp_path / "parts.json"))
+    assert sorted((r.id, r.v) for r in tables.read(spark, str(tmp_path / "parts.json")).collect()) == [(i, i % 7) for i in range(100)]
+    assert DataQuality.load(spark, str(tmp_path / "parts.json")).data.count() == 100
+    mixed = tmp_path / "a +%20 b" / "mixed.json"
+    mixed.mkdir(parents=True)
+    (mixed / "lines.json").write_text('\n{"id": 1}\n{"id": 2}\n')
+    (mixed / "array.json").write_text('[\n{"id": 3},\n{"id": 4}\n]\n')
+    (mixed / "record.json").write_text(json.dumps({"id": 5, "more": "x"}, indent=1))
+    (mixed / "one line.json").write_text('[{"id": 6}, {"id": 7}]')
+    (mixed / "broken.json").write_text('{"id": \n{"id": 8}\n{"id": 9}\n')
+    got = tables.read(spark, str(mixed)).collect()
+    assert sorted(r.id for r in got if r.id) == list(range(1, 10)) and len(got) == 10 and [r.id for r in got if r.more] == [5]
+    (tmp_path / "nested.json").write_text('{"a": {"x": 1}, "b": {"x": 2}}\n{"a": {"x": 3}, "b": {"x": 4}}\n')
+    assert sorted((r.a.x, r.b.x) for r in tables.read(spark, str(tmp_path / "nested.json")).collect()) == [(1, 2), (3, 4)]
+
+
 def test_sql_file(spark, tmp_path):
     (tmp_path / "q.sql").write_text("select 1 as a,\n 'x' as b;\n")
     assert [tuple(r) for r in tables.read(spark, str(tmp_path / "q.sql")).collect()] == [(1, "x")]
