@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +35,31 @@ def held_out(modulus: int, doc_id: Column | str = "doc_id") -> Column:
 def words_of(text: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text with A-Z lower-cased; other letters stay as they are."""
     return text.lower().split() if text else []
+
+
+#: Bytes of text that a worker takes up at once, unless one text has more.
+PIECE = 1 << 20
+
+
+def release() -> None:
+    """Hands freed memory back to the system, for a worker outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``most`` bytes in a text column; memory is handed back at the end."""
+    try:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // most)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                yield b.slice(lo, hi - lo)
+    finally:
+        release()

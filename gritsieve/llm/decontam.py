@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritsieve.llm.common import pieces
+
 #: ASCII bytes that are no letters or digits part words, A-Z are lower-cased; other marks are blanked before.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
@@ -43,18 +45,20 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score of a leak.
 LEAK = 0.5
 BLOCK_WORDS = 2_000_000
-#: Links that are weighed at once, unless one text has more.
-MOST_LINKS = 2_000_000
+#: Links that are weighed at once, unless one stretch has more.
+MOST_LINKS = 250_000
+#: Words of a text that are searched at once; longer texts are cut into stretches that overlap.
+STRETCH = 1 << 16
 
 
 #: Odd, so it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
-#: Bytes that are hashed at once; a word beyond that length is cut.
-_WINDOW = 1 << 20
+#: Bytes that are hashed at once.
+_WINDOW = 1 << 16
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.empty(2 * _WINDOW + 1, np.uint64)
+    out = np.empty(_WINDOW + 1, np.uint64)
     out[0] = 1
     out[1:] = np.uint64(base)
     return np.multiply.accumulate(out)
@@ -78,29 +82,46 @@ def _word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     The code is a polynomial in the word's bytes: a difference of running sums of bytes
     times powers, brought back to the word's own beginning by the inverse power.
     """
-    if not _UP:
-        _UP.extend((_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))))
     blank = data == 32
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[0][: len(data)], out=sums[1:])
-    code = (sums[stop] - sums[start]) * _UP[1][start]
-    code ^= code >> np.uint64(31)
+    return _mixed((sums[stop] - sums[start]) * _UP[1][start]), start
+
+
+def _mixed(code: np.ndarray) -> np.ndarray:
+    code = code ^ (code >> np.uint64(31))
     code *= np.uint64(0xBF58476D1CE4E5B9)
-    return code ^ (code >> np.uint64(29)), start
+    return code ^ (code >> np.uint64(29))
+
+
+def _long_code(word: bytes) -> np.ndarray:
+    """What :func:`_word_codes` would give of a word that is longer than a window."""
+    total = 0
+    for k in range(0, len(word), _WINDOW):
+        data = np.frombuffer(word, np.uint8, min(_WINDOW, len(word) - k), k)
+        part = int(((data.astype(np.uint64) + np.uint64(1)) * _UP[0][: len(data)]).sum(dtype=np.uint64))
+        total += part * pow(_BASE, k, 1 << 64)
+    return _mixed(np.array([total & 0xFFFFFFFFFFFFFFFF], np.uint64))
 
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word codes of all texts one after the other, and how many each has."""
+    if not _UP:
+        _UP.extend((_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))))
     parts = [plain(t) for t in texts]
     joined = b" ".join(parts)
     out, begins, at = [], [], 0
     while at < len(joined):
         stop = len(joined)
         if stop - at > _WINDOW:
-            stop = joined.find(b" ", at + _WINDOW, at + 2 * _WINDOW)
-            stop = at + 2 * _WINDOW if stop < 0 else stop
+            stop = joined.rfind(b" ", at, at + _WINDOW) + 1  # windows end behind a blank
+            if not stop:
+                stop = joined.find(b" ", at + _WINDOW) + 1 or len(joined)
+                out.append(_long_code(joined[at:stop].rstrip(b" "))), begins.append(np.array([at]))
+                at = stop
+                continue
         c, start = _word_codes(np.frombuffer(joined, np.uint8, stop - at, at))
         out.append(c), begins.append(start + at)
         at = stop
@@ -232,6 +253,21 @@ class Items:
 
         All passages with the least score or more are among them.  ``table`` is the filter of ``seeds``.
         """
+        over = 2 * int(self.span.max(initial=1))
+        most = max(STRETCH, 4 * over)
+        if n.max(initial=0) <= most:
+            yield from self._search(table, w, n)
+            return
+        for t, (start, k) in enumerate(zip(np.cumsum(n) - n, n)):
+            best: dict[int, tuple[float, int, int]] = {}
+            for first in range(0, max(1, int(k) - over), most - over):  # an alignment lies in one stretch
+                part = w[start + first : start + min(first + most, k)]
+                for _, i, score, begin, words in self._search(table, part, np.array([len(part)])):
+                    if score > best.get(i, (0.0,))[0]:
+                        best[i] = (score, first + begin, words)
+            yield from ((t, i, *v) for i, v in sorted(best.items()))
+
+    def _search(self, table: Filter, w: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         start = np.cumsum(n) - n
         text, key, at, gap = table.find(w, n)
         order = np.argsort(text, kind="stable")
@@ -255,7 +291,7 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, least: float) -> Iterator[Items]:
-    """The test items in blocks of a bounded number of words; the driver holds one at a time."""
+    """The test items in blocks of a bounded number of words."""
     rows, n = [], 0
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         k = len(plain(r.text).split())
@@ -270,19 +306,11 @@ def blocks(benchmark: DataFrame, least: float) -> Iterator[Items]:
         yield Items(rows, least)
 
 
-#: Texts that are coded together.
-TOGETHER = 250
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b.slice(k, TOGETHER) for b in batches for k in range(0, b.num_rows, TOGETHER))
-
-
 def _frequencies(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Filter(shared.value)
         count = np.zeros(len(table.table), np.int64)
-        for batch in _pieces(batches):
+        for batch in pieces(batches, 0):
             np.add.at(count, table.find(*codes(batch.column(0).to_pylist()))[1], 1)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["at", "n"])
@@ -291,7 +319,10 @@ def _frequencies(shared):
 
 
 def seeded(docs: DataFrame, benchmark: DataFrame, least: float) -> list:
-    """Broadcasts of the blocks of items, without the pairs that are commonest in ``docs``."""
+    """Broadcasts of the blocks of items, without the pairs that are commonest in ``docs``.
+
+    The driver holds a block at a time; those broadcast are files.
+    """
     spark, out = docs.sparkSession, []
     for b in blocks(benchmark, least):
         shared = spark.sparkContext.broadcast(b.distinct)
@@ -307,7 +338,7 @@ def _leaks(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         table = Filter(items.seeds)
-        for batch in _pieces(batches):
+        for batch in pieces(batches, 1):
             found = [x for x in items.search(table, *codes(batch.column(1).to_pylist())) if x[2] >= least]
             k = pa.array([x[0] for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -338,7 +369,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             table = Filter(items.seeds)
-            for batch in _pieces(batches):
+            for batch in pieces(batches, at):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[x[0] for x in items.search(table, *codes(batch.column(at).to_pylist())) if x[2] >= least]] = False
                 yield batch.filter(pa.array(clean))

@@ -1,7 +1,9 @@
 """Language identification of mixed texts: scripts, per-word scores and Viterbi labels.
 
-A word is a longest run of letters, lower-cased.  Its script (by code point ranges)
-narrows the candidates to the languages that were seen in that script.  Its score for a
+A word is a longest run of letters of one script with the marks that combine with them,
+lower-cased; scripts that are written without blanks are cut into words of up to four
+letters.  A word's script (by code point ranges) narrows the candidates to the languages
+that were seen in that script.  Its score for a
 candidate is the log likelihood of its byte trigrams under that language, relative to the
 best one and bounded, so that a single word cannot outvote a sentence.  Viterbi with a
 penalty for each switch labels the words; runs of one label are the spans.  The text's
@@ -15,13 +17,15 @@ by another language than one penalty; only for other texts are the recurrences r
 
 Defined cases: a null text or one without a letter is ``und`` with score 0.  Rows without
 a label aren't learned from; with no labels at all every text is ``und``.  Ties go to the
-first language by code point.  Rows that repeat an id are scored each.  Further columns
-are ignored.
+first language by code point.  Rows that repeat an id are scored each.  Texts of any length
+are labelled as a whole.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritsieve.llm.common import pieces
+
 CELLS = 1 << 16
 #: Price of a switch and bound of one word's evidence, in nats.
 SWITCH, BOUND = 18.0, 9.0
@@ -38,8 +44,7 @@ SMOOTH = 0.5
 #: A script belongs to a language if at least this share of its letters is in that script.
 SCRIPT_SHARE = 0.01
 #: Words that a worker remembers.
-MEMORY = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+MEMORY = 100_000
 
 #: Last code points of Unicode script ranges, with the script's name.
 SCRIPTS = (
@@ -48,9 +53,53 @@ SCRIPTS = (
     (0x1DFF, "other"), (0x1EFF, "latin"), (0x1FFF, "greek"), (0x303F, "other"), (0x30FF, "kana"), (0x33FF, "other"), (0x9FFF, "han"),
     (0xABFF, "other"), (0xD7FF, "hangul"), (0x10FFFF, "other"),
 )
-_LAST = np.array([x for x, _ in SCRIPTS])
+_ENDS = [x for x, _ in SCRIPTS]
+_LAST = np.array(_ENDS)
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
+#: Fixed value: scripts that are written without blanks between words.
+UNSPACED = ("han", "kana", "thai")
+#: Letters of a word of such a script.
+UNIT = 4
+
+
+def _ranges(points: list[int]) -> str:
+    """What stands in a regular expression's brackets for the code points."""
+    p = np.array(points)
+    cut = np.flatnonzero(np.diff(p) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(p[[0, *(cut + 1)]], p[[*cut, -1]]))
+
+
+def _word_patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Words, script by script; Latin words without marks; what other words and marks have in them."""
+    letters: dict[str, list[int]] = {}
+    marks = []
+    for c in range(0x32400):  # letters and marks end there but for variation selectors
+        ch = chr(c)
+        if ch.isalpha():
+            letters.setdefault(SCRIPTS[bisect_left(_ENDS, c)][1], []).append(c)
+        elif unicodedata.category(ch)[0] == "M":
+            marks.append(c)
+    m = _ranges(marks)
+    each = []
+    for name in sorted(letters, key=lambda n: (n != "latin", n)):
+        one = _ranges(letters[name])
+        each.append(f"(?:[{one}][{m}]*){{1,{UNIT}}}" if name in UNSPACED else f"[{one}][{one}{m}]*")
+    others = _ranges(sorted(c for name, x in letters.items() if name != "latin" for c in x))
+    return re.compile("|".join(each)), re.compile(f"[{_ranges(letters['latin'])}]+"), re.compile(f"[{others}{m}]")
+
+
+_ANY, _LATIN, _OTHER = _word_patterns()
+
+
+def pattern(text: str) -> re.Pattern:
+    """The quickest pattern that finds the text's words."""
+    return _ANY if _OTHER.search(text) else _LATIN
+
+
+def words_in(text: str) -> list[str]:
+    low = text.lower()
+    return pattern(low).findall(low)
 
 
 def script(word: str) -> int:
@@ -81,10 +130,10 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in pieces(batches, 1, 16 << 20):
         words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words.setdefault(lang, Counter()).update(WORD.findall(text.as_py().lower()))
+            words.setdefault(lang, Counter()).update(words_in(text.as_py()))
         for lang, c in words.items():
             if c:
                 cells, begins = _grams(list(c))
@@ -184,37 +233,45 @@ def decide(s: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[int,
     return best, float(letters[best] / letters.sum() * (1 / (1 + np.exp(-4 * margin))))
 
 
+class Judge:
+    """What a task knows of the languages."""
+
+    def __init__(self, model: Model):
+        self.model, self.scorer = model, Scorer(model) if model.langs else None
+
+    def of(self, texts: list[str], spans: bool = False) -> Iterator[tuple[str, float, list[dict]]]:
+        """Language, score and spans of each text."""
+        words = [words_in(t) for t in texts]
+        langs = self.model.langs
+        for text, w, s in zip(texts, words, self.scorer.of(words) if self.scorer else [None] * len(texts)):
+            if not w or s is None:
+                yield "und", 0.0, []
+                continue
+            labels = viterbi(s)
+            best, score = decide(s, np.fromiter(map(len, w), np.int64, len(w)), labels)
+            found = []
+            if spans:
+                at = [(m.start(), m.end()) for m in _ANY.finditer(text)]
+                if len(at) != len(w):  # lower-casing has split or joined a word
+                    at = [(m.start(), m.end()) for m in _ANY.finditer(text.lower())]
+                cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(w)]
+                found = [{"start": at[i][0], "stop": at[j - 1][1], "lang": langs[labels[i]]} for i, j in zip(cuts, cuts[1:])]
+            yield langs[best], score, found
+
+
 def _predict(shared, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = Scorer(model)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                texts = [x.as_py() or "" for x in batch.column(1)]
-                words = [WORD.findall(t.lower()) for t in texts]
-                preds, scores, found = [], [], []
-                for text, w, s in zip(texts, words, scorer.of(words) if model.langs else [None] * len(texts)):
-                    if not w or s is None:
-                        preds.append("und"), scores.append(0.0), found.append([])
-                        continue
-                    labels = viterbi(s)
-                    best, score = decide(s, np.fromiter(map(len, w), np.int64, len(w)), labels)
-                    preds.append(model.langs[best]), scores.append(score)
-                    if spans:
-                        at = [(m.start(), m.end()) for m in WORD.finditer(text)]
-                        if len(at) != len(w):  # lower-casing has split or joined a word
-                            at = [(m.start(), m.end()) for m in WORD.finditer(text.lower())]
-                        cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(w)]
-                        found.append([{"start": at[i][0], "stop": at[j - 1][1], "lang": model.langs[labels[i]]} for i, j in zip(cuts, cuts[1:])])
-                out = [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-                names = ["doc_id", "lang_pred", "score"]
-                if spans:
-                    out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))))
-                    names.append("spans")
-                for c in range(2, batch.num_columns):
-                    out.append(batch.column(c)), names.append(batch.schema.names[c])
-                yield pa.RecordBatch.from_arrays(out, names=names)
+        judge = Judge(shared.value)
+        for batch in pieces(batches, 1):
+            preds, scores, found = zip(*judge.of([x or "" for x in batch.column(1).to_pylist()], spans))
+            out = [batch.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+            names = ["doc_id", "lang_pred", "score"]
+            if spans:
+                out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))))
+                names.append("spans")
+            for c in range(2, batch.num_columns):
+                out.append(batch.column(c)), names.append(batch.schema.names[c])
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
@@ -237,12 +294,8 @@ def identified(docs: DataFrame, model: Model, least: float = REJECT) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _predict(shared, False)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                column = batch.column(at)
-                score = next(judge(iter([pa.RecordBatch.from_arrays([column, column], names=["doc_id", "text"])])))
-                yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(score.column(1).to_pylist(), score.column(2).to_pylist())], pa.bool_()))
+        judge = Judge(shared.value)
+        for batch in pieces(batches, at):
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s, _ in judge.of([x or "" for x in batch.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

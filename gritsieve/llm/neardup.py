@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import materialize, words_of
+from gritsieve.llm.common import materialize, pieces, words_of
 from gritsieve.plans.graph import components
 
 SHINGLE = 5
@@ -39,7 +39,7 @@ PERCENT = 75
 #: Least estimated similarity of a candidate; 0.75 lies 5 standard deviations above it.
 FLOOR = 0.55
 #: Word hashes that a worker remembers.
-MEMORY = 150_000
+MEMORY = 100_000
 #: Members of a bucket that are compared in one group.
 CHUNK_ROWS = 512
 
@@ -103,7 +103,7 @@ def digest(words: list[bytes]) -> bytes:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for batch in batches:
+    for batch in pieces(batches, 2):
         keys, sizes, bands, signs = [], [], [], []
         for text in batch.column(2).cast(pa.binary()):
             words = words_of(text.as_py())
@@ -142,7 +142,7 @@ def alike_in_size(a: Column, b: Column) -> Column:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for batch in batches:
+    for batch in pieces(batches, 2):
         keys, ids, sets = batch.column(1).to_pylist(), [], []
         for k, text in enumerate(batch.column(2).cast(pa.binary())):
             words = words_of(text.as_py())

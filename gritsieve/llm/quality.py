@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gritsieve.llm.common import pieces
 from gritsieve.llm.labelled import MOST_ROWS, logistic, sample, sigmoid, with_texts
 
 CUT = 0.3
@@ -54,7 +55,7 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         f = [features(x.as_py()) for x in batch.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], names=["y", "f"])
 
@@ -105,9 +106,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                s = m.score(np.clip(np.array([features(x.as_py()) for x in batch.column(1).cast(pa.binary())]), m.mean - 8 * m.scale, m.mean + 8 * m.scale))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for batch in pieces(batches, 1):
+            s = m.score(np.clip(np.array([features(x.as_py()) for x in batch.column(1).cast(pa.binary())]), m.mean - 8 * m.scale, m.mean + 8 * m.scale))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gritsieve.llm.common import pieces
 from gritsieve.llm.labelled import MOST_ROWS, logistic, sample, sigmoid, with_texts
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,7 +47,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(seen)), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(3))], names=["term", "toxic", "clean", "before"])
 
     seen: dict[str, list[int]] = {}
-    for batch in batches:
+    for batch in pieces(batches, 1):
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             own: dict[str, int] = {}
             last = ""
@@ -149,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.ready()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.features(x.as_py()) for x in batch.column(1)], pa.list_(pa.float32()))], names=["y", "f"])
 
     got = rows.select("y", "text").mapInArrow(run, "y int, f array<float>").toPandas()
@@ -173,10 +174,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         m.lexicon.ready()
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                s = m.score(np.stack([m.lexicon.features(x.as_py()) for x in batch.column(1)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for batch in pieces(batches, 1):
+            s = m.score(np.stack([m.lexicon.features(x.as_py()) for x in batch.column(1)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

@@ -328,3 +328,44 @@ def test_correlated_voters_count_once():
     v = np.column_stack([a, a, a, b, -((a + b) == 0).astype(float)])
     posterior, weight = toxicity.label_model(v, 0.3)
     assert weight[0] < 0.5 and weight[3] > weight[0] and ((posterior > 0.5) == y).mean() > 0.9
+
+
+def test_words_of_many_scripts():
+    got = langid.words_in("हिन्दी भाषा Hello wörld приветhello 漢字仮名交じり文 x²y 12 éa")
+    assert got == ["हिन्दी", "भाषा", "hello", "wörld", "привет", "hello", "漢字仮名", "交", "じり", "文", "x", "y", "éa"]
+    for text in ("only plain words, l'été", "12 !?", "", "z" * 100_000):
+        assert langid.words_in(text) == langid._ANY.findall(text.lower())
+
+
+def test_pieces_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from gritsieve.llm.common import pieces
+
+    texts = ["a" * 10, None, "b" * 3_000_000, "", "c" * 500_000, "d" * 500_000, "e" * 500_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["i", "t"])
+    got = list(pieces(iter([batch, batch.slice(0, 0)]), 1))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts
+    assert all(sum(len(x or "") for x in b.column(1).to_pylist()) < 2 << 20 or b.num_rows <= 3 for b in got) and len(got) > 2
+
+
+def test_a_long_word_is_hashed_whole(monkeypatch):
+    word = "x" * 200_000
+    a, n = decontam.codes([f"{word} tail", f"{word}y tail", word, "head " + word])
+    assert list(n) == [2, 2, 1, 2] and a[0] == a[4] == a[6] != a[2] and a[1] == a[3]
+    monkeypatch.setattr(decontam, "_WINDOW", 1 << 12)
+    assert np.array_equal(decontam.codes([f"{word} tail", f"{word}y tail", word, "head " + word])[0], a)
+
+
+def test_long_texts_are_searched_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "STRETCH", 64)
+    rng = random.Random(1)
+    items = [(k, " ".join(f"i{rng.randrange(400)}" for _ in range(15))) for k in range(6)]
+    text = " ".join(w for k in range(60) for w in [*(f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(40))), items[k % 6][1] if k % 2 else items[k % 6][1][:40]])
+    b = decontam.Items(items)
+    b.choose(np.ones(len(b.distinct)))
+    w, n = decontam.codes([text])
+    short = list(b.search(decontam.Filter(b.seeds), w, n))
+    monkeypatch.setattr(decontam, "STRETCH", 1 << 16)
+    whole = list(b.search(decontam.Filter(b.seeds), w, n))
+    assert [x[:3] for x in short] == [x[:3] for x in whole] and len(whole) == 6
