@@ -70,26 +70,26 @@ def _ranges(points: list[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(p[[0, *(cut + 1)]], p[[*cut, -1]]))
 
 
-def _word_patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Words, script by script; Latin words without marks; what other words and marks have in them."""
+def _word_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Words, script by script; and words of the first Latin letters, where no mark combines."""
     letters: dict[str, list[int]] = {}
-    marks = []
+    marks: list[int] = []
     for c in range(0x32400):  # letters and marks end there but for variation selectors
         ch = chr(c)
         if ch.isalpha():
             letters.setdefault(SCRIPTS[bisect_left(_ENDS, c)][1], []).append(c)
         elif unicodedata.category(ch)[0] == "M":
             marks.append(c)
-    m = _ranges(marks)
     each = []
-    for name in sorted(letters, key=lambda n: (n != "latin", n)):
-        one = _ranges(letters[name])
+    for name in sorted(letters, key=lambda n: (n == "other", n != "latin", n)):
+        one, m = _ranges(letters[name]), _ranges([c for c in marks if c < 0x10000 or name == "other"])
         each.append(f"(?:[{one}][{m}]*){{1,{UNIT}}}" if name in UNSPACED else f"[{one}][{one}{m}]*")
-    others = _ranges(sorted(c for name, x in letters.items() if name != "latin" for c in x))
-    return re.compile("|".join(each)), re.compile(f"[{_ranges(letters['latin'])}]+"), re.compile(f"[{others}{m}]")
+    return re.compile("|".join(each)), re.compile(f"[{_ranges([c for c in letters['latin'] if c <= _ENDS[0]])}]+")
 
 
-_ANY, _LATIN, _OTHER = _word_patterns()
+_ANY, _LATIN = _word_patterns()
+#: What is neither Latin nor a common mark, such as dashes and quotes.
+_OTHER = re.compile("[^\x00-\u02af\u2000-\u2064\u20a0-\u20bf\u2190-\u2bff\u3000-\u3004]")
 
 
 def pattern(text: str) -> re.Pattern:

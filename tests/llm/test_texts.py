@@ -333,7 +333,7 @@ def test_correlated_voters_count_once():
 def test_words_of_many_scripts():
     got = langid.words_in("हिन्दी भाषा Hello wörld приветhello 漢字仮名交じり文 x²y 12 éa")
     assert got == ["हिन्दी", "भाषा", "hello", "wörld", "привет", "hello", "漢字仮名", "交", "じり", "文", "x", "y", "éa"]
-    for text in ("only plain words, l'été", "12 !?", "", "z" * 100_000):
+    for text in ("only plain words, l'été", "12 !?", "", "z" * 100_000, "dash \u2014 \u201cquote\u201d \u2190 \u20ac3"):
         assert langid.words_in(text) == langid._ANY.findall(text.lower())
 
 
