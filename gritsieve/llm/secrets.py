@@ -2,27 +2,31 @@
 
 Each rule is a regular expression.  From its parse tree a Boolean query over trigrams is
 derived (a disjunction of conjunctions that every match must satisfy, on lower-cased
-text).  The index holds postings for the trigrams that some rule asks for; postings are
-intersected per document by or-ing trigram bits, rules are evaluated on those bits, and
-only candidate documents are verified with the expression itself.  A rule without a
-mandatory trigram (a run of hex digits) scans every document.
-
-Positions are found without a Python UDF: the pieces between matches and the matches
-themselves are unrolled, and running sums of their lengths give code point offsets.
-
-Defined cases: a null or empty text has no spans.  Rows that repeat an id and a text get
-equal results, one row each.  A null id is kept as null.  Further columns are ignored.
+text).  The index holds postings for the trigrams that some rule asks for, as one bit of
+each trigram beside the row; a rule's query intersects the bits, and only candidate rows are
+verified with the expression itself.  A rule without a mandatory trigram (a run of hex
+digits) scans every document.  Since a document's bits stay in its row, candidates need not
+be joined with their texts: nothing is shuffled.  :func:`postings` lists the same index by
+trigram.
+
+Positions are running sums of the lengths of matches and of the pieces between them, taken
+block by block, so that their cost grows no faster than the text.
+
+Defined cases: a null or empty text has no spans.  Rows that repeat an id or a text are
+scanned each.  A null id is kept as null.  Texts of any length are scanned whole.  Spans
+that start together are listed by rule.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re._constants as rc
 import re._parser as rp
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,12 @@ RULES = (
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
 )
 
+#: Names of the columns that hold trigram bits and spans beside a row.
+BITS, FOUND = "__bits", "__found"
+#: Positions whose running values are listed together.
+STEP = 64
+SPANS = "array<struct<start:bigint,rule:int,stop:bigint>>"
+
 #: More alternatives than this are not multiplied out; the part then demands nothing.
 MOST_STRINGS = 64
 
@@ -108,92 +118,108 @@ def trigram_query(pattern: str) -> list[list[set[str]]]:
     return clauses
 
 
+def asked_grams(rules=RULES) -> list[str]:
+    """The trigrams that some rule asks for; a trigram's place is its bit."""
+    return sorted({g for r in rules for c in trigram_query(r.pattern) for s in c for g in s})
+
+
+def indexed(docs: DataFrame, rules=RULES) -> DataFrame:
+    """``docs`` with the array ``__bits``: which of the trigrams asked for a row's text has."""
+    low = docs.withColumn("__low", F.lower("text"))
+    return low.withColumn(BITS, F.array(*(F.coalesce(F.contains("__low", F.lit(g)), F.lit(False)) for g in asked_grams(rules)))).drop("__low")
+
+
 def postings(docs: DataFrame, rules=RULES) -> DataFrame:
     """``(gram, doc_id, text_hash)``: where each trigram that a rule asks for occurs."""
-    grams = sorted({g for r in rules for c in trigram_query(r.pattern) for s in c for g in s})
-    present = F.filter(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(k)) for k, g in enumerate(grams))), lambda x: x.isNotNull())
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("low")).select("doc_id", "text_hash", F.explode(present).alias("gram"))
+    grams = F.array(*(F.lit(g) for g in asked_grams(rules)))
+    here = F.filter(grams, lambda g, k: F.get(F.col(BITS), k))
+    return indexed(docs, rules).select(F.explode(here).alias("gram"), "doc_id", F.xxhash64("text").alias("text_hash"))
+
+
+def _all_of(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def candidate(rule: Rule, rules=RULES) -> Column:
+    """Whether a row's trigram bits satisfy a rule's query; always, if it has none."""
+    place = {g: k for k, g in enumerate(asked_grams(rules))}
+    out = F.lit(True)
+    for clause in trigram_query(rule.pattern):
+        one = F.lit(False)
+        for s in clause:
+            one = one | _all_of([F.get(BITS, F.lit(place[g])) for g in sorted(s)])
+        out = out & one
+    return out
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``(doc_id, text_hash, rules)``: documents whose postings satisfy a rule's query."""
-    grams = sorted({g for r in rules for c in trigram_query(r.pattern) for s in c for g in s})
-    words = range(0, len(grams), 60)
-    bits = postings(docs, rules).groupBy("doc_id", "text_hash").agg(
-        *(F.bit_or(F.when((F.col("gram") >= lo) & (F.col("gram") < lo + 60), F.expr(f"shiftleft(1L, gram - {lo})")).otherwise(F.lit(0).cast("long"))).alias(f"bits{lo}") for lo in words)
-    )
+    """``(doc_id, text_hash, rules)``: rows whose bits satisfy the query of a rule that has one."""
+    which = F.filter(F.array(*(F.when(candidate(r, rules), F.lit(k)) for k, r in enumerate(rules) if trigram_query(r.pattern))), lambda x: x.isNotNull())
+    return indexed(docs, rules).select("doc_id", F.xxhash64("text").alias("text_hash"), which.alias("rules")).filter(F.size("rules") > 0)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once, however often ``body`` has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def has(s: set[str]) -> Column:
-        out = F.lit(True)
-        for lo in words:
-            mask = sum(1 << (grams.index(g) - lo) for g in s if lo <= grams.index(g) < lo + 60)
-            if mask:
-                out = out & (F.col(f"bits{lo}").bitwiseAND(F.lit(mask)) == F.lit(mask))
-        return out
-
-    def holds(clauses: list[list[set[str]]]) -> Column:
-        out = F.lit(True)
-        for clause in clauses:
-            one = F.lit(False)
-            for s in clause:
-                one = one | has(s)
-            out = out & one
-        return out
-
-    which = F.filter(F.array(*(F.when(holds(q), F.lit(k)) for k, r in enumerate(rules) if (q := trigram_query(r.pattern)))), lambda x: x.isNotNull())
-    return bits.select("doc_id", "text_hash", which.alias("rules")).filter(F.size("rules") > 0)
-
-
-def _matches(r: Rule, k: int) -> Column:
-    """Array of (piece before, match, counts) of one rule over ``text``."""
+def _last(a: Column) -> Column:
+    return F.get(a, F.size(a) - 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima) of a non-empty array of longs that are 0 at least.
+
+    Lists of ``STEP`` values are run through on their own and then moved by what comes before.
+    """
+
+    def run(a: Column, start: Column) -> Column:
+        return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(merge(F.coalesce(_last(acc), F.lit(0).cast("long")), x))))
+
+    nothing = F.array().cast("array<bigint>")
+
+    def whole(a: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STEP).cast("int"))
+        parts = F.transform(steps, lambda k: run(F.slice(a, k * STEP + 1, F.lit(STEP)), nothing))
+        return _let(parts, lambda p: _let(run(F.transform(p, _last), F.array(F.lit(0).cast("long"))), lambda tops: F.flatten(F.zip_with(p, F.slice(tops, F.lit(1), F.size(p)), lambda x, t: F.transform(x, lambda v: merge(t, v))))))
+
+    return _let(values, whole)
+
+
+def _spans(r: Rule, k: int) -> Column:
+    """Spans of one rule in ``text``, in order."""
     p = F.lit(r.pattern)
-    found = F.regexp_extract_all("text", p, F.lit(0))
-    long_enough = F.regexp_extract_all("text", p, F.lit(r.group))
-    return F.when(
-        F.regexp_like("text", p),
-        F.transform(
-            F.arrays_zip(F.slice(F.split("text", r.pattern, -1), F.lit(1), F.size(found)).alias("before"), found.alias("match"), long_enough.alias("part")),
-            lambda x: F.struct(F.length(x["before"]).alias("before"), F.length(x["match"]).alias("width"), (F.length(x["part"]) >= r.least).alias("counts"), F.lit(k).alias("rule")),
-        ),
-    )
+    lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("long"))
+
+    def placed(widths: Column) -> Column:
+        steps = F.zip_with(F.slice(lengths(F.split("text", r.pattern, -1)), F.lit(1), F.size(widths)), widths, lambda x, y: x + y)
+        spans = F.zip_with(running(steps, lambda x, y: x + y), widths, lambda stop, width: F.struct((stop - width).alias("start"), F.lit(k).alias("rule"), stop.alias("stop")))
+        if r.least == 1:
+            return spans
+        counted = F.zip_with(spans, lengths(F.regexp_extract_all("text", p, F.lit(r.group))), lambda x, n: F.when(n >= r.least, x))
+        return F.filter(counted, lambda x: x.isNotNull())
+
+    return F.when(F.regexp_like("text", p), _let(lengths(F.regexp_extract_all("text", p, F.lit(0))), placed))
+
+
+def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
+    """``docs`` with the array ``__found`` of (start, rule, stop): a row's spans in order; code points, stop exclusive."""
+    each = [F.coalesce(F.when(candidate(r, rules), _spans(r, k)), F.array().cast(SPANS)) for k, r in enumerate(rules)]
+    return indexed(docs, rules).withColumn(FOUND, F.sort_array(F.flatten(F.array(*each)))).drop(BITS)
 
 
 def find_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``(doc_id, text_hash, rule, start, stop)``: every span, code points, stop exclusive."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(F.length("text") > 0)
-    asked = [k for k, r in enumerate(rules) if trigram_query(r.pattern)]
-    full = [k for k, r in enumerate(rules) if not trigram_query(r.pattern)]
-    c = candidates(docs, rules)
-    parts = []
-    if asked:
-        verified = keyed.join(c, keyed["doc_id"].eqNullSafe(c["doc_id"]) & (keyed["text_hash"] == c["text_hash"])).select(keyed["doc_id"], keyed["text_hash"], "text", "rules")
-        parts.append((verified, [F.when(F.array_contains("rules", k), _matches(rules[k], k)) for k in asked]))
-    if full:
-        parts.append((keyed, [_matches(rules[k], k) for k in full]))
-    rows = None
-    for df, found in parts:
-        lists = F.filter(F.array(*found), lambda x: x.isNotNull() & (F.size(x) > 0))
-        x = df.select("doc_id", "text_hash", F.explode(lists).alias("found")).select("doc_id", "text_hash", F.posexplode("found").alias("k", "m")).select("doc_id", "text_hash", "k", "m.*")
-        rows = x if rows is None else rows.unionByName(x)
-    rows = rows.dropDuplicates(["doc_id", "text_hash", "rule", "k"])
-    each = W.partitionBy("doc_id", "text_hash", "rule").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    stop = F.sum(F.col("before").cast("long") + F.col("width")).over(each)
-    return rows.withColumn("stop", stop).filter("counts").select("doc_id", "text_hash", "rule", (F.col("stop") - F.col("width")).alias("start"), "stop")
-
-
-def gather_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """One row per document text that has a span: its sorted array of (start, rule, stop)."""
-    return find_spans(docs, rules).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "rule", "stop"))).alias("found"))
-
-
-def _with_spans(docs: DataFrame, rules) -> DataFrame:
-    d, s = docs.withColumn("__hash", F.xxhash64("text")), gather_spans(docs, rules).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("found").alias("__found"))
-    return d.join(s, d["doc_id"].eqNullSafe(s["__id"]) & (d["__hash"] == s["__h"]), "left").drop("__id", "__h", "__hash")
+    """``(doc_id, text_hash, rule, start, stop)``: every span."""
+    rows = with_spans(docs.select("doc_id", "text"), rules).select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(FOUND).alias("m"))
+    return rows.select("doc_id", "text_hash", "m.rule", "m.start", "m.stop")
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: base counts, the digest of base spans, and all spans."""
-    slim = _with_spans(docs.select("doc_id", "text"), rules).select("doc_id", F.coalesce("__found", F.array().cast("array<struct<start:bigint,rule:int,stop:bigint>>")).alias("found"))
+    slim = with_spans(docs.select("doc_id", "text"), rules).select("doc_id", F.col(FOUND).alias("found"))
     kind = F.array(*(F.lit(r.kind) for r in rules))
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(kind, x["rule"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
     base = [k for k, r in enumerate(rules) if r.base]
@@ -210,13 +236,20 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span, or run of overlapping spans, replaced by ``mask``.
 
     Other rows stay as they are; ``n_chars``, where there is one, follows a changed text.
+    Letters are taken from an array of the text's code points, so the cost is that of the text.
     """
-    found = F.col("__found")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(found, lambda x: x["stop"]))
-    reach = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.array_max(F.slice(ends, F.lit(1), i)))
-    gaps = F.transform(F.arrays_zip(reach.alias("reach"), found.alias("span")), lambda x: F.when((x["span"]["start"] > x["reach"]) | (x["reach"] == 0), F.concat(F.substring(F.col("text"), x["reach"].cast("int") + 1, (x["span"]["start"] - x["reach"]).cast("int")), F.lit(mask))).otherwise(F.lit("")))
-    rest = F.substring(F.col("text"), F.array_max(ends).cast("int") + 1, F.length("text"))
-    out = _with_spans(docs, rules).withColumn("text", F.when(found.isNotNull(), F.concat(F.array_join(gaps, ""), rest)).otherwise(F.col("text")))
+    found = F.col(FOUND)
+    reach = running(F.transform(found, lambda x: x["stop"]), lambda x, y: F.greatest(x, y))
+
+    def kept(reached: Column, letters: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), reached)
+        part = lambda lo, hi: F.array_join(F.slice(letters, (lo + 1).cast("int"), (hi - lo).cast("int")), "")
+        gaps = F.zip_with(found, F.slice(before, F.lit(1), F.size(found)), lambda x, r: F.when((x["start"] > r) | (r == 0), F.concat(part(r, F.greatest(x["start"], r)), F.lit(mask))).otherwise(F.lit("")))
+        return F.concat(F.array_join(gaps, ""), part(_last(reached), F.size(letters).cast("long")))
+
+    hidden = F.size(FOUND) > 0
+    changed = _let(reach, lambda r: _let(F.split("text", ""), lambda letters: kept(r, letters)))
+    out = with_spans(docs, rules).withColumn("text", F.when(hidden, changed).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(found.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hidden, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
