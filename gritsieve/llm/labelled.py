@@ -1,7 +1,10 @@
 """Bounded samples of labelled rows, to which classifiers are fitted.
 
-``MOST_ROWS`` is the documented bound: of the labelled training rows, those with the least
-hashes are taken, about that many at most.  Everything else covers all rows.
+``MOST_ROWS`` is the documented bound: of the distinct (id, label) pairs of the training rows,
+those with the least hashes are taken, about that many at most.  A pair counts once however
+often it is repeated, and an id that several documents share stands for the one whose text
+has the least hash, so that no much repeated id can outgrow the bound.  Everything else
+covers all rows.
 """
 
 from __future__ import annotations
@@ -16,17 +19,19 @@ MOST_ROWS = 20_000
 
 
 def sample(labels: DataFrame, label: str, most: int = MOST_ROWS) -> DataFrame:
-    """``(doc_id, y)`` of about ``most`` training rows at the most; rows without a label don't count."""
-    rows = labels.filter(~held_out(5) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    """``(doc_id, y)`` of about ``most`` labelled training ids at the most; rows without a label don't count."""
+    rows = labels.filter(~held_out(5) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     n = rows.count()
     if n > most:
-        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id"), 33) < int(most / n * 2**31))
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "y"), 33) < int(most / n * 2**31))
     return rows
 
 
 def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(doc_id, y, text)``; the sample is broadcast, for its size is bounded."""
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """``(doc_id, y, text)``, a row for each of the chosen; the sample is broadcast, for its size is bounded."""
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "y", "t.text")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

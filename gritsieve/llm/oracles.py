@@ -50,7 +50,7 @@ with r as (select page_id, coalesce(page_id, -1) as id, coalesce(html, '') as bo
 select page_id, id // 1024 as file, cast(coalesce(sum(strlen(record)) over (partition by id // 1024 order by id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
   strlen(record) as length, sha256(record) as digest,
   case when page_id % 211 = 17 then 'missing' when page_id % 89 = 3 then 'changed' else 'intact' end as outcome
-from r
+from r union all select -page_id - 2, null, null, null, null, 'added' from pages where page_id % 307 = 5
 """
 
 ORACLES = {"op7_fixity": _FIXITY, "op9_secrets": _secrets(), "op4_near_duplicates": _CLASSES}

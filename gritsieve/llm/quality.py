@@ -1,7 +1,7 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
 A document's strength is linear in features of its text (shares of characters, words,
-lines and their repetition).  Labelled rows give preference pairs, a good one over a bad
+lines and their repetition, and of the words themselves, hashed to ``CELLS``).  Labelled rows give preference pairs, a good one over a bad
 one; the weights minimize the logistic loss of the feature differences.  The threshold is
 the quantile of the sample's strengths that separates its labels best, and strengths are
 shifted so that a document at the threshold has the score ``CUT``.
@@ -9,12 +9,13 @@ shifted so that a document at the threshold has the score ``CUT``.
 Fitted to a bounded sample (see ``labelled``), in which every row stands in ``PARTNERS``
 pairs or more.  Defined cases: null and empty texts have the features of no words and get
 a score.  With labels of one kind only, all weights are 0 and every score is ``CUT``.  Rows
-that repeat an id are scored each; repeated labels count as often as they are there.
-Further columns are ignored.
+that repeat an id are scored each; labels that repeat an id and a value count once.  Texts
+of any length are read whole; ties in strength share a score.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from gritsieve.llm.labelled import MOST_ROWS, logistic, sample, sigmoid, with_te
 CUT = 0.3
 PARTNERS = 12
 L2 = 2.0
+#: Cells of hashed words, and how much their scale is reduced: single words only decide with much evidence.
+CELLS, REDUCED = 64, 20.0
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -40,18 +43,24 @@ def features(text: bytes | None) -> np.ndarray:
     letters = max(upper + lower + n[128:].sum(), 1)
     marks = n[list(_MARKS)]
     lines = [x.strip() for x in text.split(b"\n") if x.strip()]
-    runs = list(zip(words, words[1:], words[2:], words[3:]))
+    number: dict[bytes, int] = {}
+    of = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    runs = np.zeros(max(len(of) - 3, 0), np.uint64)
+    for k in range(4 if len(runs) else 0):
+        runs = (runs ^ of[k : k + len(runs)]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(32)
+    cells = np.bincount([zlib.crc32(w.lower()) % CELLS for w in number] if number else [], np.bincount(of.astype(np.int64), minlength=len(number)) if number else [], CELLS)
     ends = sum(w[-1] in b".!?" for w in words)
     marked = sum(not (48 <= w[-1] <= 57 or 65 <= w[-1] <= 90 or w[-1] >= 97) for w in words)
     shares = [
         upper / letters, digits / chars, n[128:].sum() / chars, n[10] / chars, n[32] / chars, marks.sum() / chars,
-        1 - len(set(words)) / count, 1 - len(set(lines)) / max(len(lines), 1), 1 - len(set(runs)) / max(len(runs), 1),
+        1 - len(number) / count, 1 - len(set(lines)) / max(len(lines), 1), 1 - len(np.unique(runs)) / max(len(runs), 1),
         ends / count, marked / count, sum(w.isupper() for w in words) / count, sum(len(w) == 1 for w in words) / count, sum(len(w) > 12 for w in words) / count,
         n[n > 0].max(initial=0) / chars,
     ]
     shares = np.concatenate([np.array(shares, float), marks / count])
     sizes = np.array([np.log1p(len(words)), np.log1p(len(lines)), np.log1p(chars / count), np.log1p(count / max(len(lines), 1)), np.log1p(count / max(ends, 1))])
-    return np.concatenate([shares, np.sqrt(shares), sizes, sizes**2 / 10])
+    return np.concatenate([shares, np.sqrt(shares), sizes, sizes**2 / 10, np.sqrt(cells / count)])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +84,7 @@ class Model:
 def fit(f: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
     mean = f.mean(axis=0) if len(f) else np.zeros(f.shape[1])
     scale = np.maximum(f.std(axis=0), 1e-6) if len(f) else np.ones(f.shape[1])
+    scale[-CELLS:] *= REDUCED
     x = np.clip((f - mean) / scale, -8, 8)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):

@@ -1,18 +1,19 @@
 """Toxicity by weak supervision.
 
 Voters: words and word beginnings that labelled training rows tie to toxic texts (each a
-lexicon entry that votes toxic or abstains), and patterns over them (how many hits, how
-dense, none at all).  An entry must stand after many different words, so that the wording
+lexicon entry that votes toxic or abstains; ``MOST_VOTERS`` at most, the strongest), and
+patterns over them (how many hits, how dense, none at all).  An entry must stand after many different words, so that the wording
 of one much-copied text is none.  A generative label model estimates by expectation
 maximization how often each voter votes what given the hidden label, weighing each vote
-down by the voter's correlations with others, so that entries that always vote together
-count once.  A linear (logistic) classifier is trained on its posterior labels; the slope
+down by the voter's correlations with others given that label, so that entries that always
+vote together count once.  A linear (logistic) classifier is trained on its posterior labels; the slope
 and offset of its scores are then set by the sample's own labels.
 
 Voters and classifier are fitted to a bounded sample (see ``labelled``).  Defined cases:
 null and empty texts have no hits and get a score.  With no toxic training row there are no
 voters and every score is the share of toxic labels.  Rows that repeat an id are scored
-each; repeated labels count as often as they are there.  Further columns are ignored.
+each; labels that repeat an id and a value count once.  Texts of any length are read whole;
+voters that tie are taken by code point.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,16 +102,28 @@ def votes(f: np.ndarray) -> np.ndarray:
     return v
 
 
+def redundancy(cast: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """A weight for each voter: 1, or less for those whose votes go together beyond what the label explains.
+
+    Correlations are taken around each voter's expected vote given the posterior, so that two
+    voters that merely both follow the label keep their weights.
+    """
+    p = np.column_stack([posterior, 1 - posterior])
+    expected = p @ ((p.T @ cast) / (p.sum(axis=0)[:, None] + 1e-9))
+    spread = cast - expected
+    norm = np.sqrt((spread**2).sum(axis=0)) + 1e-9
+    near = np.clip(spread.T @ spread / norm[:, None] / norm[None, :], 0, 1)
+    np.fill_diagonal(near, 1)
+    return 1 / np.where(near > 0.3, near, 0).sum(axis=0)
+
+
 def label_model(v: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Posterior toxicity of each row, and each voter's weight after its correlations."""
     n, m = v.shape
     cast = (v != 0).astype(float)
-    spread = cast - cast.mean(axis=0)
-    norm = np.sqrt((spread**2).sum(axis=0)) + 1e-9
-    near = np.clip(spread.T @ spread / norm[:, None] / norm[None, :], 0, 1)
-    weight = 1 / np.maximum(np.where(near > 0.3, near, 0).sum(axis=0), 1)
     posterior = np.where((v[:, :-1] > 0).any(axis=1), 0.9, 0.02)
     for _ in range(ROUNDS):
+        weight = redundancy(cast, posterior)
         p, q = posterior.sum(), n - posterior.sum()
         like = np.zeros(n)
         for vote in (-1, 0, 1):

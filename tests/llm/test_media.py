@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -135,9 +136,34 @@ def test_fixity(spark):
     found = warc.audit(warc.leaves(warc.records(pages)), warc.leaves(warc.records(replica))).collect()
     assert sorted((r.id, r.outcome) for r in found) == sorted([(5, "changed"), (1029, "changed"), (2999, "changed"), (17, "missing"), (2048, "missing"), (5000, "added")])
     out = warc.report(pages, replica).collect()
-    assert len(out) == len(rows) and sum(r.outcome != "intact" for r in out) == 5
+    assert len(out) == len(rows) + 1 and sum(r.outcome != "intact" for r in out) == 6
+    assert [(r.page_id, r.file, r.offset, r.length, r.digest) for r in out if r.outcome == "added"] == [(5000, None, None, None, None)]
     assert warc.audit(warc.leaves(warc.records(pages)), warc.leaves(warc.records(pages))).count() == 0
     nothing = warc.leaves(warc.records(pages.limit(0)))
     assert warc.audit(nothing, nothing).count() == 0
     in_file = sorted((r.offset, r.length) for r in out if r.file == 1)
     assert all(a[0] + a[1] == b[0] for a, b in zip(in_file, in_file[1:])) and in_file[0][0] == 0
+
+
+def test_fixity_of_far_ids_and_clashing_columns(spark):
+    far = [-(2**63), -(9 * 10**18), -1, 0, 31, 32, 9 * 10**18, 2**63 - 1]
+    rows = [(i, None, "x" * 3_000_000 if i == 0 else str(i)) for i in far]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("hash", F.lit("h")).withColumn("node", F.lit(2)).withColumn("replica", F.lit("r"))
+    for bad in far[1], far[4]:
+        replica = pages.withColumn("html", F.when(F.col("page_id") == bad, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+        assert [(r.page_id, r.outcome) for r in warc.report(pages, replica).collect() if r.outcome != "intact"] == [(bad, "changed")]
+    assert sorted((r.page_id, r.outcome) for r in warc.report(pages, pages.filter("page_id > 0")).collect() if r.outcome != "missing") == sorted((i, "intact") for i in far if i > 0)
+    assert warc.report(pages.limit(0), pages.limit(0)).count() == 0
+    assert {r.outcome for r in warc.report(pages.limit(0), pages).collect()} == {"added"}
+
+
+def test_every_digit_of_a_digest_counts(spark):
+    digests = ["0" * 64] + ["0" * k + "1" + "0" * (63 - k) for k in range(64)]
+    df = spark.createDataFrame([(i, i, 5, d) for i, d in enumerate(digests)], "page_id long, id long, length long, digest string")
+    assert warc.leaves(df).select("hash").distinct().count() == 65
+
+
+def test_nodes_cover_ranges_of_offsets(spark):
+    leaf = lambda lengths: spark.createDataFrame([(i, n, "same") for i, n in enumerate(lengths)], "id long, length long, hash string")
+    roots = [warc.trees(leaf(x), leaf(x))[-1].first().hash for x in ([1, 2, 3], [1, 3, 2], [1, 2, 3])]
+    assert roots[0] == roots[2] != roots[1]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gritsieve.llm import decontam, langid, lm, neardup, quality, toxicity
 from gritsieve.llm.common import held_out
+from gritsieve.llm.labelled import sample, with_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -320,6 +321,33 @@ def test_labels_of_one_kind_or_none(spark, operator):
     assert operator.score(df.limit(0), operator.learn(df, labels)).count() == 0
 
 
+def test_a_hot_id_does_not_outgrow_the_sample(spark):
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    hot = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(1).alias("toxic"))
+    chosen = sample(many.unionByName(hot), "toxic", 400)
+    assert 300 < chosen.count() < 500 and sample(hot, "toxic", 400).count() == 1
+    df = docs(spark, [(3, f"copy {k}", "en") for k in range(50)] + [(6, None, "en")])
+    pairs = spark.createDataFrame([(3, 1), (3, 1), (6, 0)], "doc_id long, y int")
+    assert sorted((r.doc_id, r.y) for r in with_texts(df, pairs.distinct()).collect()) == [(3, 1), (6, 0)]
+
+
+@pytest.mark.parametrize("operator", [quality, toxicity])
+def test_classifiers_take_very_long_texts(spark, operator):
+    df, labels, _ = labelled(spark)
+    model = operator.learn(df, labels)
+    rows = operator.score(docs(spark, [(1, "river vilest " * 150_000, "en"), (2, "x" * 2_000_000, "en"), (2, "x" * 2_000_000, "en")]), model).collect()
+    assert len(rows) == 3 and all(0 <= r.score <= 1 for r in rows) and len({r.score for r in rows if r.doc_id == 2}) == 1
+
+
+def test_voters_that_follow_the_label_keep_their_weight():
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.3
+    v = np.column_stack([(rng.random(4000) < np.where(y, 0.9, 0.02)).astype(float) for _ in range(4)] + [np.zeros(4000)])
+    v[:, -1] = -1.0 * (v[:, :-1].sum(axis=1) == 0)
+    posterior, weight = toxicity.label_model(v, 0.3)
+    assert (weight[:4] > 0.6).all() and ((posterior > 0.5) == y).mean() > 0.93
+
+
 def test_correlated_voters_count_once():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
