@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gritsieve.llm import decontam, langid, lm, neardup, quality, toxicity
+from gritsieve.llm import common, decontam, langid, lm, neardup, quality, toxicity
 from gritsieve.llm.common import held_out
 from gritsieve.llm.labelled import sample, with_texts
 
@@ -180,7 +180,7 @@ def test_word_codes(monkeypatch):
     first = np.cumsum(n) - n
     assert list(whole[:3]) == list(whole[first[5] :][[1, 0, 2]]) and len(set(whole[first[4] : first[5]])) == 1
     assert whole[first[6]] == whole[first[4]] and whole[first[6] + 1] == whole[0] and len(set(whole)) == 7
-    monkeypatch.setattr(decontam, "_WINDOW", 16)
+    monkeypatch.setattr(common, "_WINDOW", 16)
     assert np.array_equal(decontam.codes(texts)[0], whole)
 
 
@@ -242,10 +242,13 @@ def lm_rows():
     return [*rows, (1000, None, None), (1001, "", None), (1002, "never seen before", None), (None, "V1 v2", None), (1003, "v1 " * 50_000, None), (5, "v5 v6", "en")]
 
 
-@pytest.mark.parametrize("hot", [100_000, 3])
-def test_language_model(spark, monkeypatch, hot):
-    monkeypatch.setattr(lm, "HOT", hot)
+@pytest.mark.parametrize("small", [False, True])
+def test_language_model(spark, monkeypatch, small):
     rows = lm_rows()
+    if small:  # many chunks, wards and contexts that are dealt out
+        monkeypatch.setattr(lm, "HOT", 3)
+        monkeypatch.setattr(lm, "CHUNK", 900)
+        monkeypatch.setattr(lm, "WARD", 2000)
     got = lm.score(docs(spark, rows).withColumn("row", F.lit(1)), held_out(10)).collect()
     out = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     tokens = lambda t: [*"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split(), "</>"]
@@ -261,23 +264,99 @@ def test_language_model(spark, monkeypatch, hot):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    n = lm.DISHES
-    pairs = np.zeros((n, n), np.int64)
-    np.add.at(pairs, (rng.integers(0, n, 40_000) ** 2 // n, rng.integers(0, n, 40_000) ** 2 // n), 1)
-    pairs[0, :5] += 100_000
-    p = lm.sample(pairs, rng.integers(0, lm.CLASSES, lm.FREQUENT))
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-
-
-def test_stirling_numbers():
-    s = lm.Level._stirling(0.5)
-    brute = defaultdict(float, {(0, 0): 1.0})
-    for c in range(6):
-        for t in range(c + 2):
-            brute[c + 1, t] = brute[c, t - 1] + (c - 0.5 * t) * brute[c, t]
-    assert all(math.isclose(math.exp(s[6, t]), brute[6, t]) for t in range(1, 7))
+def seatings(c, t, d):
+    """log of a generalized Stirling number."""
+    s = {(0, 0): 1.0}
+    for n in range(c):
+        for k in range(n + 2):
+            s[n + 1, k] = s.get((n, k - 1), 0.0) + (n - d * k) * s.get((n, k), 0.0)
+    return math.log(s[c, t])
+
+
+@pytest.mark.parametrize(("c", "alpha", "delta"), [(2, 0.4, 0.1), (3, 0.4, 0.05), (6, 2.0, 0.2), (20, 1.5, 0.01), (40, 0.3, 0.02)])
+def test_tables_against_their_exact_distribution(c, alpha, delta):
+    d, n = 0.6, 40_000
+    weight = np.array([seatings(c, t, d) + sum(math.log(alpha + delta * j) for j in range(1, t)) for t in range(1, c + 1)])
+    exact = np.exp(weight - weight.max())
+    exact /= exact.sum()
+    got = np.bincount(lm.draw_tables(np.full(n, c), np.full(n, alpha), np.full(n, delta), d, np.random.default_rng(0)), minlength=c + 1)[1:] / n
+    assert abs(got - exact).sum() / 2 < 0.04 and abs((got - exact) @ np.arange(1, c + 1)) < 0.1 * (exact @ np.arange(1, c + 1))
+
+
+@pytest.mark.parametrize(("alpha", "delta"), [(2.0, 0.01), (0.01, 0.0001), (300.0, 0.05)])
+def test_many_customers_in_groups(monkeypatch, alpha, delta):
+    """Seating in groups comes near to seating all customers one by one."""
+    c, n, draw = 1500, 4000, lambda: lm.draw_tables(np.full(n, c), np.full(n, alpha), np.full(n, delta), 0.5, np.random.default_rng(0))
+    grouped = draw()
+    monkeypatch.setattr(lm, "groups", lambda most: ((k, 1) for k in range(1, most)))
+    single = draw()
+    assert abs(grouped.mean() / single.mean() - 1) < 0.03
+
+
+def test_sweeps_against_a_plain_sampler(monkeypatch):
+    """Tables of a small restaurant against Gibbs sampling by exact conditionals with the same parent."""
+    counts = np.array([12, 7, 5, 3, 2, 2, 1, 1, 1, 1])
+    words = np.arange(10, dtype=np.uint64)
+    known = lm.Known(words, counts * 1, int(counts.sum()), 10, 0)
+    rest, rooms = np.zeros(10, np.int64), np.ones(1, np.int64)
+    rng, theta = np.random.default_rng(1), 2.0
+    monkeypatch.setattr(lm, "draw_strength", lambda *_: theta)
+    monkeypatch.setattr(lm, "BURN_IN", 30)
+    monkeypatch.setattr(lm, "SAMPLES", 900)
+    _, got, d, _ = lm.sweep(counts, rest, words, rooms, known, rng)
+    t, seen = np.ones(10, int), []
+    for k in range(900):
+        band = np.log2(counts).astype(int)
+        opened = np.bincount(band, t, 8) / np.maximum(np.bincount(band, counts, 8), 1)
+        h = counts * opened[band] / (counts * opened[band]).sum()
+        for i in range(10):
+            others = theta + d * (t.sum() - t[i])
+            w = np.array([seatings(int(counts[i]), s, d) + sum(math.log(h[i] * (others + d * j)) for j in range(s)) for s in range(1, counts[i] + 1)])
+            w = np.exp(w - w.max())
+            t[i] = 1 + rng.choice(len(w), p=w / w.sum())
+        if k > 50:
+            seen.append(t.copy())
+    assert np.allclose(got, np.mean(seen, axis=0), rtol=0.08)
+
+
+def test_predictive_probabilities_sum_to_one(spark, monkeypatch):
+    """Contexts' masses: what is not given to their own words is given to the parent."""
+    monkeypatch.setattr(lm, "CHUNK", 900)
+    df = docs(spark, [r for r in lm_rows() if r[0] != 1003]).select("doc_id", "text").withColumn("held_out", F.lit(False))
+    chunked = lm.chunks(df).cache()
+    k = lm.known(chunked, 3)
+    shared = spark.sparkContext.broadcast(k)
+    asks = chunked.select("chunk", "held", "sizes", "codes", "tokens").mapInArrow(lm._ask_pairs(shared), lm.ROWS).cache()
+    seated = lm._dealt(asks, "part", 8).mapInArrow(lm._seat(shared, 3), lm.ROWS).filter(F.col("kind") == lm.PAIRS).collect()
+    asked = {(r.part, r.chunk): r for r in asks.collect()}
+    masses, whole, fresh = defaultdict(dict), {}, {}
+    for r in seated:
+        q = asked[r.part, r.chunk]
+        head = np.frombuffer(q.a, np.uint64)
+        u, n = head[: len(head) // 2], head[len(head) // 2 :].astype(int)
+        for context, w, m in zip(np.repeat(u, n).tolist(), np.frombuffer(q.b, np.uint64).tolist(), np.frombuffer(r.a, np.float32).tolist()):
+            masses[context][w] = m
+        whole |= dict(zip(u.tolist(), np.frombuffer(r.b, float).tolist()))
+        fresh |= dict(zip(u.tolist(), np.frombuffer(r.c, float).tolist()))
+    assert len(whole) > 2000 and all(math.isclose(sum(masses[u].values()) + fresh[u], whole[u], rel_tol=1e-5) for u in whole)
+    asks = chunked.select("chunk", "codes", "counts").mapInArrow(lm._ask_words(3), lm.ROWS)
+    rooted = lm._dealt(asks, "part", 8).mapInArrow(lm._seat_root(k.total, k.distinct), lm.ROWS).collect()
+    word_mass = {}
+    words = {(r.part, r.chunk): r for r in asks.collect()}
+    for r in rooted:
+        if r.kind == lm.WORDS:
+            word_mass |= dict(zip(np.frombuffer(words[r.part, r.chunk].a, np.uint64).tolist(), np.frombuffer(r.b, float).tolist()))
+    sums = [(np.frombuffer(r.a, float), np.frombuffer(r.b, float)) for r in rooted if r.kind == lm.ROOT]
+    assert len(word_mass) == k.distinct and math.isclose(sum(word_mass.values()) + sum(b[0] for _, b in sums), sum(a[0] for a, _ in sums), rel_tol=1e-9)
+
+
+def test_log_gamma():
+    x = np.array([0.01, 0.3, 1.0, 2.5, 17.0, 1e6])
+    assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+
+
+def test_language_model_of_an_empty_table(spark):
+    assert lm.score(docs(spark, []), held_out(10)).count() == 0
 
 
 def test_no_training_rows(spark):
@@ -381,7 +460,7 @@ def test_a_long_word_is_hashed_whole(monkeypatch):
     word = "x" * 200_000
     a, n = decontam.codes([f"{word} tail", f"{word}y tail", word, "head " + word])
     assert list(n) == [2, 2, 1, 2] and a[0] == a[4] == a[6] != a[2] and a[1] == a[3]
-    monkeypatch.setattr(decontam, "_WINDOW", 1 << 12)
+    monkeypatch.setattr(common, "_WINDOW", 1 << 12)
     assert np.array_equal(decontam.codes([f"{word} tail", f"{word}y tail", word, "head " + word])[0], a)
 
 
