@@ -2,7 +2,9 @@
 
 Matrices are tables (i, j, v).  Words that share no token have similarity 0, so the matrix
 falls into blocks, one for each connected component, and a block's clusters don't depend on
-the others: blocks are clustered in parallel, each to its own fixed point.
+the others: blocks are clustered in parallel, each to its own fixed point.  Blocks of up to
+``MOST_WORDS`` words are clustered as dense matrices in a task each; larger ones by the same
+steps on tables.
 """
 
 from __future__ import annotations
@@ -18,14 +20,23 @@ from gritsieve.plans.storage import materialize
 
 #: Fixed value: tokens are runs of two word characters or more.
 TOKEN = r"(?U)\b\w\w+\b"
-#: Largest block, in words; four dense matrices of it must fit a task.
-MOST_WORDS = 6000
+#: Largest block, in words, that is clustered in one task: four dense matrices of it must fit.
+MOST_WORDS = 3000
+#: Bytes of feature rows that all tasks may hold.
+MOST_BYTES = 256 << 20
 
 
 def vocabulary(rows: DataFrame, col: str) -> DataFrame:
     """``(id, word, n)``: distinct non-null values in sorted order, and how often each occurs."""
-    counted = rows.select(F.col(col).cast("string").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    return counted.withColumn("id", F.row_number().over(W.orderBy("word")) - 1).select("id", "word", "n")  # distinct values only
+    return numbered(rows.select(F.col(col).cast("string").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n")))
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """``(id, word, n)``: distinct words (word, n) numbered in sorted order, without sorting them in one task."""
+    words = materialize(words.orderBy("word").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    first = words.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition
+    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return words.join(F.broadcast(first), "_part").select((F.col("_before") + F.col("_at") - F.col("_first")).alias("id"), "word", "n")
 
 
 def tf_vectors(words: DataFrame) -> DataFrame:
@@ -47,7 +58,8 @@ def feature_similarity(features: DataFrame, ids: DataFrame, metric: str = "cosin
     """``(i, j, v)``: bias minus the distance of feature rows (id, token, w), where not 0.
 
     Cosine needs only rows that share a token; under ``euclidean`` and ``manhattan`` every
-    two rows have a distance, so their number is bounded by ``MOST_WORDS``.
+    two rows have a distance, so the features are a stated query set: their size is checked,
+    then they are held against themselves, row by row.
     """
     if metric == "cosine":
         norms = features.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -57,24 +69,37 @@ def feature_similarity(features: DataFrame, ids: DataFrame, metric: str = "cosin
         return dots.unionByName(ids.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(bias).alias("v")))
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(metric)
-    names = np.array(sorted(r.id for r in ids.select("id").limit(MOST_WORDS + 1).collect()), np.int64)
-    if len(names) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} rows are too many for the {metric} metric")
     wide = features.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("row"))
-    shared = features.sparkSession.sparkContext.broadcast({r.id: r.row for r in wide.collect()})
+    size = features.agg(F.coalesce(F.sum(F.octet_length(F.col("token").cast("string")) + 64), F.lit(0))).first()[0]
+    if size > MOST_BYTES:
+        raise ValueError(f"features of {size} bytes are too many to compare with each other under the {metric} metric")
+    names = np.array(sorted(r.id for r in ids.select("id").toLocalIterator()), np.int64)
+    tokens: dict = {}
+    cells = [(np.searchsorted(names, r.id), tokens.setdefault(t, len(tokens)), w) for r in wide.toLocalIterator() for t, w in r.row.items()]
+    shared = features.sparkSession.sparkContext.broadcast((names, len(tokens), *(np.array(x) for x in (zip(*cells) if cells else ((), (), ())))))
 
     def run(pdfs):
-        rows = shared.value
+        """Dense rows of the asked ids against blocks of dense rows of all."""
+        every, width, row, column, w = shared.value
+        row, column = row.astype(np.int64), column.astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        row, column, w = row[order], column[order], w[order]
+        height = max(1, (8 << 20) // max(1, 8 * width))
         for pdf in pdfs:
-            for i in pdf["id"]:
-                x, out = rows.get(i, {}), []
-                for j in names:
-                    y = rows.get(j, {})
-                    gaps = [abs(x.get(t, 0.0) - y.get(t, 0.0)) for t in x.keys() | y.keys()]
-                    out.append(bias - (sum(gaps) if metric == "manhattan" else sum(g * g for g in gaps) ** 0.5))
-                yield pd.DataFrame({"i": i, "j": names, "v": out})
-
-    return ids.select("id").mapInPandas(run, "i long, j long, v double").filter("v <> 0")
+            at = np.searchsorted(every, pdf["id"].to_numpy())
+            for lo in range(0, len(every), height):
+                hi = min(lo + height, len(every))
+                i, j = np.searchsorted(row, [lo, hi])
+                block = np.zeros((hi - lo, width))
+                block[row[i:j] - lo, column[i:j]] = w[i:j]
+                for k in at:
+                    x = np.zeros(width)
+                    i, j = np.searchsorted(row, [k, k + 1])
+                    x[column[i:j]] = w[i:j]
+                    gap = np.abs(block - x)
+                    yield pd.DataFrame({"i": every[k], "j": every[lo:hi], "v": bias - (gap.sum(axis=1) if metric == "manhattan" else np.sqrt((gap * gap).sum(axis=1)))})
+
+    return ids.select("id").repartition(max(1, len(names) // 64)).mapInPandas(run, "i long, j long, v double").filter("v <> 0")
 
 
 def self_loops(m: DataFrame, weight: float = 0.01) -> DataFrame:
@@ -121,21 +146,45 @@ def support_labels(t: np.ndarray) -> np.ndarray:
     return np.array([first.setdefault(np.flatnonzero(row).tobytes(), k) for k, row in enumerate(t)])
 
 
+def fixed_point_table(t: DataFrame, inflation_power: float = 2, inflation_threshold: float = 1e-10, self_loops_weight: float = 0.01, expansion_power: int = 2, iteration_limit: int = 100) -> DataFrame:
+    """What :func:`fixed_point` does, on tables."""
+    check = lambda m: m.agg(F.count("*"), F.sum(F.xxhash64("i", "j", "v").cast("decimal(38,0)"))).first()
+    t = materialize(self_loops(t, self_loops_weight))
+    before = check(t)
+    for _ in range(iteration_limit):
+        t = materialize(inflate(expand(normalize(t), expansion_power), inflation_power, inflation_threshold).filter("v <> 0").withColumn("v", F.round("v", 14)))
+        now = check(t)
+        if now == before:
+            break
+        before = now
+    return t
+
+
+def support_labels_table(t: DataFrame) -> DataFrame:
+    """``(id, label)``: rows with the same non-zero columns share the least of their ids."""
+    support = t.filter("v <> 0").groupBy("i").agg(F.count("*").alias("n"), F.sum(F.xxhash64("j").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("j", F.lit(1)).cast("decimal(38,0)")).alias("g"))
+    least = support.groupBy("n", "h", "g").agg(F.min("i").alias("label"))
+    return support.join(least, ["n", "h", "g"]).select(F.col("i").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
+
+
 def cluster(m: DataFrame, nodes: DataFrame, **params) -> DataFrame:
     """``(id, label)`` for each of ``nodes`` (id): the label is the cluster's least id."""
     m = materialize(m)
     blocks = components(m.filter("i <> j and v <> 0").select(F.col("i").alias("a"), F.col("j").alias("b")))
-    inside = m.join(blocks.withColumnRenamed("node", "i"), "i").select("component", "i", "j", "v")
+    sizes = blocks.groupBy("component").agg(F.count("*").alias("words"))
+    large = blocks.join(sizes.filter(F.col("words") > MOST_WORDS).select("component"), "component", "left_semi")
+    inside = m.join(blocks.join(sizes.filter(F.col("words") <= MOST_WORDS).select("component"), "component", "left_semi").withColumnRenamed("node", "i"), "i").select("component", "i", "j", "v")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
-        if len(ids) > MOST_WORDS:
-            raise ValueError(f"a block of {len(ids)} words is too large to cluster")
         t = np.zeros((len(ids), len(ids)))
         t[np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])] = pdf["v"]
         return pd.DataFrame({"id": ids, "label": ids[support_labels(fixed_point(t, **params))]})
 
     labelled = inside.groupBy("component").applyInPandas(one, "id long, label long")
+    if large.take(1):
+        own = m.join(large.select(F.col("node").alias("i")), "i", "left_semi")
+        labelled = labelled.unionByName(support_labels_table(fixed_point_table(own.select("i", "j", "v"), **params)))
     return nodes.select(F.col("id").cast("long").alias("id")).join(labelled, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 

@@ -13,7 +13,7 @@ from gritsieve.operators import categories, completeness, duplicates, embeddings
 from gritsieve.plans import ledger as ledgers
 from gritsieve.plans.engine import DataQuality
 from gritsieve.plans.ledger import IDX
-from gritsieve.plans.storage import materialize, shared_dir
+from gritsieve.plans.storage import materialize, put_bytes, shared_dir
 from gritsieve.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ DIRT = {
     "mixed": """select c_custkey + shift as c_custkey, case when c_custkey % 50 = 0 then null else c_name end as c_name, case when c_custkey % 50 = 0 then null else c_nationkey end as c_nationkey,
         floor(c_acctbal / 10) * 10 * case when c_custkey % 400 = 1 then 1000 else 1 end as balance, case when c_custkey % 50 = 0 then null else c_mktsegment end as c_mktsegment
         from {customer} cross join (select 0 as shift union all select 100000000 as shift) s where shift = 0 or c_custkey % 200 = 1""",
+    "whole": """select o_orderkey + shift as id, case when o_orderkey % 1000 = 5 then null when o_orderkey % 3000 = 7 then concat(substr(o_orderpriority, 1, 2), substr(o_orderpriority, 4)) else o_orderpriority end as priority,
+        case when o_orderkey % 1000 = 5 then null else floor(o_totalprice / 1000) * 1000 * case when o_orderkey % 5000 = 3 then 1000 else 1 end end as price,
+        case when o_orderkey % 1000 = 5 then null else o_orderstatus end as status, o_custkey as customer
+        from {orders} cross join (select 0 as shift union all select 100000000 as shift) s where shift = 0 or o_orderkey % 400 = 1""",
+    "parts": """select p_partkey, p_size as low, p_size + case when p_partkey % 2500 = 1 then -1 else 10 end as high, p_retailprice as price, concat(p_name, cast(p_partkey as string)) as name from {part}""",
     "second": """select o_orderkey, o_orderstatus as a, case when o_orderkey % 10000 = 3 then 'S_X' else concat('S_', o_orderstatus) end as b, o_totalprice as low,
         o_totalprice + case when o_orderkey % 5000 = 1 then -1 else 10 end as high from {orders}""",
 }
@@ -194,8 +199,85 @@ def _matrix(step, digits=6):
     return run
 
 
+def _nations(spark, sf):
+    return mcl.vocabulary(table(spark, sf, "nation"), "n_name")
+
+
+def mcl_labels(spark, sf):
+    words = _nations(spark, sf)
+    labels = mcl.MarkovClustering(mcl.tf_vectors(words)).fit().extract_labels()
+    return labels.join(words.select("id", "word"), "id").select("id", "word", "label")
+
+
 def mcl_clusters(spark, sf):
-    return mcl.clusters(mcl.word_clusters(_names(spark, sf)).select("label", "id"))
+    found = mcl.clusters(mcl.word_clusters(_nations(spark, sf)).select("label", "id"))
+    return found.select("label", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+def distance_matrix(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.explode(F.create_map(F.lit("key"), F.col("n_nationkey").cast("double"), F.lit("region"), F.col("n_regionkey").cast("double"))).alias("token", "w"))
+    each = [mcl.feature_similarity(rows, rows.select("id").distinct(), m).select(F.lit(m).alias("metric"), "i", "j", F.round("v", 6).alias("v")) for m in ("euclidean", "manhattan")]
+    return each[0].unionByName(each[1])
+
+
+def string_similarity_regions(spark, sf):
+    words = mcl.vocabulary(table(spark, sf, "region"), "r_name")
+    return typos.string_similarity(words).select("i", "j", F.round("s", 6).alias("s"))
+
+
+def rare_words(spark, sf):
+    rows = dirty(spark, sf, "misspelt")
+    return typos.rare_words(typos.clustered(typos.vocabularies(rows, ["priority"]))).select("column", "word", "n")
+
+
+def typo_rows(spark, sf):
+    rows = dirty(spark, sf, "misspelt").select(F.col("o_orderkey").alias(IDX), "priority")
+    return typos.typo_rows(rows, "priority").select(F.col(IDX).alias("idx"), "word")
+
+
+def check_extension(spark, sf):
+    paths = ("a.csv", "dir/B.JSON", "c.sql", "d.xlsx", "e.parquet", "e.parquet/", "f.txt", "csv", "g.csv.gz")
+    return spark.createDataFrame([(p, tables.check_extension(p)) for p in paths], "path string, kind string")
+
+
+def push_bad_index(spark, sf):
+    q = quality(table(spark, sf, "nation"))
+    q.push_bad_index(ledgers.finding(q.data.filter("n_regionkey = 3"), "own", "note", F.lit("n_name"), value1=F.col("n_name")))
+    q.push_bad_index(ledgers.finding(q.data.filter("n_regionkey = 4"), "own", "note", F.lit("n_regionkey"), num1=F.col("n_regionkey")))
+    return q.bad_index.select("idx", "check", "errtype", "column", "value1", "num1")
+
+
+def set_profile(spark, sf):
+    """The profile as it is set: numbers without the date, and a uniqueness that leaves ``value`` out."""
+    q = quality(table(spark, sf, "events"))
+    q.nbr_col = ["user_id", "value"]
+    q.uniq_col = {**q.uniq_col, "user_id": 0.5, "value": 1.0}
+    return findings(q.check_extreme_value(thresh_std=1.5))
+
+
+def load_by_default(spark, sf):
+    """A table as it is loaded: without its first column, rows numbered as they are read."""
+    path = f"{shared_dir(spark)}/region-{spark.sparkContext.applicationId}.csv"
+    table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    return DataQuality.load(spark, path).data.select(F.col(IDX).alias("idx"), "r_name")
+
+
+def read_sql_roundtrip(spark, sf):
+    path = f"{shared_dir(spark)}/nation-{spark.sparkContext.applicationId}.sql"
+    query = f"select n_nationkey,\n n_name from parquet.`{sf}/nation.parquet`\nwhere n_regionkey < 3;"
+    spark.createDataFrame([(query,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return tables.read(spark, path)
+
+
+def read_excel_roundtrip(spark, sf):
+    path = f"{shared_dir(spark)}/nation-{spark.sparkContext.applicationId}.xlsx"
+    put_bytes(spark, path, tables.workbook(["key", "name", "region"], [(r.n_nationkey, r.n_name, r.n_regionkey) for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]))  # 25 rows
+    return tables.read(spark, path)
+
+
+def mcl_clusters_of_parts(spark, sf):
+    found = mcl.clusters(mcl.word_clusters(_names(spark, sf)).select("label", "id"))
+    return found.select("label", F.size("members").alias("words"))
 
 
 def typo_correction(spark, sf):
@@ -213,7 +295,7 @@ def check_typo_mcl(spark, sf):
 
 def typo_suggestions(spark, sf):
     rows = dirty(spark, sf, "misspelt").select(F.col("o_orderkey").alias(IDX), "priority")
-    return typos.typo_suggestions(rows, "priority", 2).select(F.col(IDX).alias("idx"), "word", "suggestions")
+    return typos.typo_suggestions(rows, "priority", 2).select(F.col(IDX).alias("idx"), "word", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 def word_embeddings(spark, sf):
@@ -239,6 +321,14 @@ def secondpass_ledger(spark, sf):
     return texts(q.secondpass("tendency", "logic", "mixed_logic")).select("idx", "check", "errtype", "column", "column2")
 
 
+def firstpass_default(spark, sf):
+    return findings(quality(dirty(spark, sf, "whole"), semantics="strict").firstpass())
+
+
+def secondpass_default(spark, sf):
+    return findings(quality(dirty(spark, sf, "parts")).secondpass())
+
+
 def save_result_roundtrip(spark, sf):
     q = quality(table(spark, sf, "events"))
     q.check_extreme_value(thresh_std=4.5)
@@ -266,7 +356,8 @@ QUERIES: dict[str, Query] = {
         column_uniqueness, column_null_fraction, column_kinds, fractional_year, shared_label_codes, string_correlation, dedup_rows, check_duplication, check_duplication_strict,
         drop_non_unique_high, drop_non_unique_low, check_completeness, empty_columns, zscore_rows, check_extreme_value, check_extreme_value_tuned, check_tendency, knn_impute, lof_scores,
         check_outlier, check_logic, check_mixed_logic, check_mixed_logic_strict, col_combined_result, dual_hist, string_similarity, tf_vectors, mcl_clusters, typo_correction, check_typo_ap,
-        check_typo_mcl, typo_suggestions, word_embeddings, firstpass_ledger, good_index_after_firstpass, secondpass_ledger, save_result_roundtrip, read_json_roundtrip, read_csv_roundtrip,
+        check_typo_mcl, typo_suggestions, rare_words, typo_rows, mcl_labels, mcl_clusters_of_parts, distance_matrix, string_similarity_regions, check_extension, push_bad_index, set_profile,
+        load_by_default, read_sql_roundtrip, read_excel_roundtrip, firstpass_default, secondpass_default, word_embeddings, firstpass_ledger, good_index_after_firstpass, secondpass_ledger, save_result_roundtrip, read_json_roundtrip, read_csv_roundtrip,
     )
 } | {
     "duplicate_mask_first": _mask("first"), "duplicate_mask_last": _mask("last"), "duplicate_mask_any": _mask(False),
@@ -321,7 +412,60 @@ _FIRST = f"""t as ({_sql('mixed')}), g as (select *, min(c_custkey) over (partit
    and ((n1 < 0.8 and c_name is null)::int + (n2 < 0.8 and c_nationkey is null)::int + (n3 < 0.8 and balance is null)::int + (n4 < 0.8 and c_mktsegment is null)::int)
      / ((n1 < 0.8)::int + (n2 < 0.8)::int + (n3 < 0.8)::int + (n4 < 0.8)::int)::double >= 0.5)"""
 
+_WHOLE = f"""t as ({_sql('whole').replace('as string', 'as varchar')}), g as (select *, min(id) over w as lo, count(*) over w as copies from t window w as (partition by priority, price, status, customer)), d as (select * from g where id = lo),
+ f as (select avg((priority is null)::int) as n1, avg((price is null)::int) as n2, avg((status is null)::int) as n3, avg((customer is null)::int) as n4 from d),
+ u as (select count(distinct price) / count(price)::double as up, count(distinct customer) / count(customer)::double as uc from t),
+ s as (select avg(price) as m, stddev_samp(price) as s, avg(customer) as m2, stddev_samp(customer) as s2 from d),
+ v as (select priority, count(*) as n from d where priority is not null group by priority),
+ found as (select id as idx, 'duplication' as "check", 'duplication' as errtype, 'ALL' as "column", null::varchar as column2, id::double as num1, lo::double as num2 from g where id <> lo
+  union all select id, 'typo', 'typo', 'priority', null, null, null from d join v using (priority) where n <= 10 and priority in ('1-RGENT', '2-IGH', '3-EDIUM', '4-OT SPECIFIED', '5-OW')
+  union all select id, 'extreme_value', 'extreme', 'price', null, round(price, 4), null from d, s, u where up between 0.0001 and 0.99 and price is not null and not coalesce(price > m - 6 * s and price < m + 6 * s, false)
+  union all select id, 'extreme_value', 'extreme', 'customer', null, customer, null from d, s, u where uc between 0.0001 and 0.99 and not coalesce(customer > m2 - 6 * s2 and customer < m2 + 6 * s2, false)
+  union all select id, 'completeness', 'empty', 'All', null, null, null from d, f
+   where ((priority is null)::int + (price is null)::int + (status is null)::int + (customer is null)::int) / 4.0 >= 0.7
+   and ((n1 < 0.8 and priority is null)::int + (n2 < 0.8 and price is null)::int + (n3 < 0.8 and status is null)::int + (n4 < 0.8 and customer is null)::int)
+     / ((n1 < 0.8)::int + (n2 < 0.8)::int + (n3 < 0.8)::int + (n4 < 0.8)::int)::double >= 0.5)"""
+_PARTS = """t as (select p_partkey as id, p_size as low, p_size + case when p_partkey % 2500 = 1 then -1 else 10 end as high, p_retailprice as price from part),
+ d as (select a.id as i, b.id as j, greatest(abs(a.low - b.low), abs(a.high - b.high), abs(a.price - b.price)) as d from t a join t b on a.id <> b.id),
+ nb as (select i, j, d from d qualify row_number() over (partition by i order by d, j) <= 20),
+ kd as (select i, max(d) as kd from nb group by i),
+ lrd as (select nb.i, 1.0 / (avg(greatest(kd.kd, nb.d)) + 1e-10) as lrd from nb join kd on kd.i = nb.j group by nb.i),
+ lof as (select nb.i, avg(b.lrd) / any_value(a.lrd) as lof from nb join lrd b on b.i = nb.j join lrd a on a.i = nb.i group by nb.i),
+ c as (select quantile_cont(-lof, 0.0005) as cut from lof),
+ twos as (select id, a, b, x, y from (select id, 'low' as a, 'high' as b, low as x, high as y from t union all select id, 'low', 'price', low, price from t union all select id, 'high', 'price', high, price from t)),
+ p as (select a, b, count(*) filter (where x < y) / count(*)::double as ab, count(*) filter (where x > y) / count(*)::double as ba from twos group by a, b)"""
+_CORRECTED = f"""t as ({_sql('misspelt')}), w as (select o_orderkey as idx, regexp_replace(priority, '[^A-Za-z]+', ' ', 'g') || case when o_orderkey % 97 = 5 then ' ' else '' end as word from t),
+ n as (select word, count(*) as n, regexp_extract(trim(word), '[A-Za-z]+$') as k from w group by word), best as (select k, max(n) as top, arg_max(word, n) as suggestion from n group by k)"""
+
 ORACLES: dict[str, str] = {
+    "firstpass_default": f"with {_WHOLE} select * from found",
+    "secondpass_default": f"""with {_PARTS} select id as idx, 'tendency' as "check", 'Logic error' as errtype, a as "column", b as column2, round(x, 4)::double as num1, round(y, 4)::double as num2 from twos join p using (a, b) where ab > 0.999 and x > y
+        union all select id, 'tendency', 'Logic error', b, a, round(y, 4), round(x, 4) from twos join p using (a, b) where ba > 0.999 and y > x
+        union all select i, 'outlier', 'Outlier', 'NA', null, null, null from lof, c where -lof < cut""",
+    "rare_words": f"""with t as ({_sql('misspelt')}) select 'priority' as "column", priority as word, count(*) as n from t where o_orderkey % 3000 = 7 group by priority having count(*) <= 10""",
+    "typo_rows": f"with t as ({_sql('misspelt')}) select o_orderkey as idx, priority as word from t where o_orderkey % 3000 = 7 qualify count(*) over (partition by priority) <= 10",
+    # fixed results of exemplar clustering: the urgent and high ones are alike, the low ones like none
+    "check_typo_ap": f"""with t as ({_sql('misspelt')}) select min(o_orderkey) as idx, 'typo' as "check", 'typo' as errtype, 'priority' as "column", null::varchar as column2, priority as value1, '' as value2 from t where priority <> '5-LOW' group by priority""",
+    "check_typo_mcl": f"""with t as ({_sql('misspelt')}) select min(o_orderkey) as idx, 'typo' as "check", 'typo' as errtype, 'priority' as "column", null::varchar as column2, priority as value1, '' as value2 from t group by priority
+        qualify count(*) over (partition by regexp_extract(priority, '[A-Z][A-Z]+$')) > 1""",
+    "typo_suggestions": f"""with t as ({_sql('misspelt')}) select o_orderkey as idx, priority as word, case when priority in ('1-RGENT', '2-IGH') then '2-HIGH|1-URGENT' when priority = '3-EDIUM' then '3-MEDIUM|3-EDIUM' else '4-NOT SPECIFIED|4-OT SPECIFIED' end as suggestions
+        from t where o_orderkey % 3000 = 7""",
+    "typo_correction": f"with {_CORRECTED} select idx, word, suggestion from w join n using (word) join best using (k) where n < top",
+    "mcl_labels": "with w as (select n_name as word, row_number() over (order by n_name) - 1 as id from nation) select id, word, min(id) over (partition by split_part(word, ' ', 1)) as label from w",
+    "mcl_clusters": "with w as (select n_name as word, row_number() over (order by n_name) - 1 as id from nation) select min(id) as label, string_agg(id::varchar, ',' order by id) as members from w group by split_part(word, ' ', 1)",
+    "mcl_clusters_of_parts": "select 0::bigint as label, count(distinct p_name)::int as words from part",
+    # fixed values: ratios of the five region names in sorted order
+    "string_similarity_regions": "select i::bigint as i, j::bigint as j, s::double as s from (values (0, 0, 1.0), (0, 1, 0.769231), (0, 2, 0.6), (0, 3, 0.166667), (0, 4, 0.235294), (1, 0, 0.769231), (1, 1, 1.0), (1, 2, 0.545455), (1, 3, 0.307692), (1, 4, 0.333333), (2, 0, 0.6), (2, 1, 0.545455), (2, 2, 1.0), (2, 3, 0.0), (2, 4, 0.266667), (3, 0, 0.166667), (3, 1, 0.307692), (3, 2, 0.0), (3, 3, 1.0), (3, 4, 0.235294), (4, 0, 0.117647), (4, 1, 0.111111), (4, 2, 0.266667), (4, 3, 0.235294), (4, 4, 1.0)) v(i, j, s)",
+    "distance_matrix": """with p as (select a.n_nationkey::bigint as i, b.n_nationkey::bigint as j, abs(a.n_nationkey - b.n_nationkey)::double as x, abs(a.n_regionkey - b.n_regionkey)::double as y from nation a, nation b)
+        select * from (select 'euclidean' as metric, i, j, round(1 - sqrt(x * x + y * y), 6) as v from p union all select 'manhattan', i, j, round(1 - x - y, 6) from p) where v <> 0""",
+    "check_extension": "select * from (values ('a.csv', 'csv'), ('dir/B.JSON', 'json'), ('c.sql', 'sql'), ('d.xlsx', 'xlsx'), ('e.parquet', 'parquet'), ('e.parquet/', 'parquet'), ('f.txt', 'none'), ('csv', 'none'), ('g.csv.gz', 'none')) v(path, kind)",
+    "push_bad_index": """select n_nationkey::bigint as idx, 'own' as "check", 'note' as errtype, case when n_regionkey = 3 then 'n_name' else 'n_regionkey' end as "column", case when n_regionkey = 3 then n_name else '' end as value1,
+        case when n_regionkey = 4 then 4.0::double end as num1 from nation where n_regionkey in (3, 4)""",
+    "set_profile": """select event_id as idx, 'extreme_value' as "check", 'extreme' as errtype, 'user_id' as "column", null::varchar as column2, user_id::double as num1, null::double as num2 from events
+        qualify not (user_id > avg(user_id) over () - 1.5 * stddev_samp(user_id) over () and user_id < avg(user_id) over () + 1.5 * stddev_samp(user_id) over ())""",
+    "load_by_default": "select row_number() over (order by r_regionkey) - 1 as idx, r_name from region",
+    "read_sql_roundtrip": "select n_nationkey, n_name from nation where n_regionkey < 3",
+    "read_excel_roundtrip": "select n_nationkey::bigint as key, n_name as name, n_regionkey::bigint as region from nation",
     "column_uniqueness": " union all ".join(f"""select '{c}' as "column", round(count(distinct {c}) / count({c})::double, 6) as uniqueness from lineitem""" for c in _LINEITEM),
     "column_null_fraction": f"with t as ({_sql('holes')}) " + " union all ".join(f"""select '{c}' as "column", round(avg(({c} is null)::int), 6) as null_fraction from t""" for c in _HOLES),
     "column_kinds": """select * from (values ('event_id', 'int'), ('ts', 'date'), ('user_id', 'int'), ('event_type', 'str'), ('value', 'float'), ('props', 'str')) v("column", kind)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,29 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """What the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder of this machine serves.
+    Where that is unset, a temporary folder of this machine serves a session that runs on this
+    machine alone; on a cluster it is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "gritsieve")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "gritsieve")
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file wherever Spark can write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def forget(spark: SparkSession, path: str) -> str:
+    """Has ``path`` deleted with the tables of :func:`materialize`."""
+    _written.append((spark, path))
+    return path
 
 
 def delete_tables() -> None:

@@ -7,6 +7,7 @@ import json
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
     schema = options.pop("schema", None)
-    given = {"header": True, "multiLine": True, "escape": '"', "nullValue": "NA"} | options
+    given = {"header": True, "escape": '"', "nullValue": "NA"} | options
+    if not any(k.lower() == "multiline" for k in options):
+        given["multiLine"] = _broken_lines(spark, path)
     reader = spark.read.options(**given)
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -50,6 +53,11 @@ def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
     return narrowed(raw)
 
 
+def _broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, so that a value may go on in the next; without one, large files can be split."""
+    return bool(spark.read.text(path).filter((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).take(1))
+
+
 def narrowed(raw: DataFrame) -> DataFrame:
     """Text columns as long or double where all values can be; one job for all columns."""
     columns = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -105,6 +113,9 @@ def _json(spark: SparkSession, path: str, **options) -> DataFrame:
             got = spark.read.options(**options, multiLine=not by_line).json(path)
     structs = [f for f in got.schema.fields if isinstance(f.dataType, T.StructType)]
     if structs and len(structs) == len(got.schema.fields) and len({tuple(f.dataType.names) for f in structs}) == 1 and len(got.head(2)) == 1:
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+        if size > MOST_WORKBOOK:
+            raise ValueError(f"{path}: a table by columns of {size} bytes")
         text = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
         data = json.loads(text)  # a table of one line by columns is a driver-side file
         labels = list(next(iter(data.values()), {}))
@@ -188,6 +199,16 @@ def sheet_rows(data: bytes, sheet: int = 0) -> list[list]:
     return out
 
 
+def workbook(names: list[str], rows: list[tuple]) -> bytes:
+    """A workbook of one sheet; the counterpart of :func:`sheet_rows` for numbers and texts."""
+    cell = lambda v: "<c/>" if v is None else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>' if isinstance(v, str) else f"<c><v>{v}</v></c>"
+    body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(names), *rows])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
 def with_index(df: DataFrame, index_col: str | None = None) -> DataFrame:
     """``df`` with the row id ``_idx``: the given column, or 0, 1, ... in reading order.
 

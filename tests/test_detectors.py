@@ -1,6 +1,7 @@
 """Micro-fixtures with hand-computed findings."""
 
 import math
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -263,3 +264,57 @@ def test_z_score_gate(spark):
 def test_correlation_of_nothing(spark):
     q = quality(spark, [("a", 1)], "s string, i int")
     assert categories.correlated(q.data, q.roles, q.uniq_col) == {"s": []}
+
+
+def test_a_large_vocabulary_is_clustered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(typos, "MAX_VOCAB", 40)
+    monkeypatch.setattr(typos, "SAMPLE", 30)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(120)]
+    slips = {w[:4] + w[5:]: w for w in words[:20]}
+    rows = [(w, "left" if k % 2 else "right") for w in words for k in range(30)] + [(w, "left") for w in slips for _ in range(3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{IDX} long, w string, side string")
+    got = typos.clustered(typos.vocabularies(df, ["w", "side"])).collect()
+    assert sorted(r.word for r in got) == sorted({*words, *slips, "left", "right"})
+    label = {r.word: r.label for r in got}
+    assert all(label[x] == label[w] for x, w in slips.items()) and len({label[w] for w in words}) == 120
+    rare = typos.rare_words(typos.clustered(typos.vocabularies(df, ["w"]))).collect()
+    assert sorted(r.word for r in rare) == sorted(slips)
+
+
+def test_the_first_pass_takes_large_vocabularies(spark, monkeypatch):
+    monkeypatch.setattr(typos, "MAX_VOCAB", 30)
+    monkeypatch.setattr(typos, "SAMPLE", 20)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(60)]
+    rows = [(i, words[i % 60], float(i % 700)) for i in range(15_000)] + [(20_000 + k, words[k][1:], 1.0) for k in range(4)]
+    q = DataQuality(spark.createDataFrame(rows, "id long, w string, v double"), index_col="id")
+    found = q.firstpass().collect()
+    assert sorted(r.idx for r in found if r.check == "typo") == [20_000 + k for k in range(4)] and {r.check for r in found} == {"typo", "duplication"}
+
+
+def test_a_large_block_is_clustered_as_tables(spark, monkeypatch):
+    words = [f"{a} {b}" for a in ("red", "blue", "green") for b in ("gear", "bolt", "nut")] + ["alone"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words * 2)], f"{IDX} long, w string")
+    vocab = mcl.vocabulary(df, "w")
+    dense_labels = sorted(tuple(r) for r in mcl.cluster(mcl.cosine_similarity(vocab), vocab).collect())
+    monkeypatch.setattr(mcl, "MOST_WORDS", 3)
+    assert sorted(tuple(r) for r in mcl.cluster(mcl.cosine_similarity(vocab), vocab).collect()) == dense_labels
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_dense_distances(spark, metric):
+    rng = np.random.default_rng(0)
+    x = np.where(rng.random((40, 6)) < 0.4, 0.0, rng.integers(0, 9, (40, 6)).astype(float))
+    rows = spark.createDataFrame([(i, f"t{k}", float(x[i, k])) for i in range(40) for k in range(6) if x[i, k]], "id long, token string, w double")
+    ids = spark.range(40)
+    got = {(r.i, r.j): r.v for r in mcl.feature_similarity(rows, ids, metric).collect()}
+    gap = np.abs(x[:, None] - x[None])
+    want = 1 - (gap.sum(axis=2) if metric == "manhattan" else np.sqrt((gap**2).sum(axis=2)))
+    assert all(abs(got.get((i, j), 0.0) - want[i, j]) < 1e-9 for i in range(40) for j in range(40))
+
+
+def test_numbering_of_words(spark):
+    words = [f"w{k}" for k in range(500)]
+    got = mcl.numbered(spark.createDataFrame([(w, 1) for w in words], "word string, n long").repartition(7)).orderBy("id").collect()
+    assert [(r.id, r.word) for r in got] == list(enumerate(sorted(words)))
