@@ -332,13 +332,13 @@ def test_predictive_probabilities_sum_to_one(spark, monkeypatch):
     masses, strength, fresh = defaultdict(dict), {}, {}
     for r in seated:
         q = asked[r.part, r.chunk]
-        head = np.frombuffer(q.a, np.uint64)
+        head = lm.unpacked(q.a, np.uint64)
         u, n = head[: len(head) // 2], head[len(head) // 2 :].astype(int)
-        for context, w, m in zip(np.repeat(u, n).tolist(), np.frombuffer(q.b, np.uint64).tolist(), np.frombuffer(r.a, np.float32).tolist()):
+        for context, w, m in zip(np.repeat(u, n).tolist(), lm.unpacked(q.b, np.uint64).tolist(), lm.unpacked(r.a, np.float32).tolist()):
             masses[context][w] = m
-        fresh |= dict(zip(u.tolist(), np.frombuffer(r.b, np.float32).tolist()))
-        strength |= dict.fromkeys(u.tolist(), np.frombuffer(r.c, float)[0])
-    tokens = Counter(x for r in chunked.collect() for x in np.repeat(np.frombuffer(r.codes, np.uint64), np.frombuffer(r.counts, np.int32)).tolist())
+        fresh |= dict(zip(u.tolist(), lm.unpacked(r.b, np.float32).tolist()))
+        strength |= dict.fromkeys(u.tolist(), lm.unpacked(r.c, float)[0])
+    tokens = Counter(x for r in chunked.collect() for x in np.repeat(lm.unpacked(r.codes, np.uint64), lm.unpacked(r.counts, np.int32)).tolist())
     whole = {u: strength[u] + tokens[u] for u in fresh}
     assert len(whole) > 2000 and all(math.isclose(sum(masses[u].values()) + fresh[u], whole[u], rel_tol=1e-5) for u in whole)
     asks = chunked.select("chunk", "codes", "counts").mapInArrow(lm._ask_words(3), lm.ROWS)
@@ -347,9 +347,9 @@ def test_predictive_probabilities_sum_to_one(spark, monkeypatch):
     words = {(r.part, r.chunk): r for r in asks.collect()}
     for r in rooted:
         if r.kind == lm.WORDS:
-            word_mass |= dict(zip(np.frombuffer(words[r.part, r.chunk].a, np.uint64).tolist(), np.frombuffer(r.b, np.float32).tolist()))
-    sums = [(np.frombuffer(r.a, float), np.frombuffer(r.b, float)) for r in rooted if r.kind == lm.ROOT]
-    assert len(word_mass) == k.distinct and math.isclose(sum(word_mass.values()) + sum(b[0] for _, b in sums), sum(a[0] for a, _ in sums), rel_tol=1e-5)
+            word_mass |= dict(zip(lm.unpacked(words[r.part, r.chunk].a, np.uint64).tolist(), lm.unpacked(r.b, np.float32).tolist()))
+    sums = [lm.unpacked(r.a, float) for r in rooted if r.kind == lm.ROOT]
+    assert len(word_mass) == k.distinct and math.isclose(sum(word_mass.values()) + sum(a[2] for a in sums), sum(a[0] for a in sums), rel_tol=1e-5)
 
 
 def test_log_gamma():
