@@ -40,8 +40,10 @@ PERCENT = 75
 FLOOR = 0.55
 #: Word hashes that a worker remembers.
 MEMORY = 100_000
-#: Members of a bucket that are compared in one group.
-CHUNK_ROWS = 512
+#: Members of a bucket, and shingles of them, that are compared in one group.
+CHUNK_ROWS, CHUNK_SHINGLES = 512, 1 << 20
+#: Most rows of the bit table, 64 bits each.
+FILTER_ROWS = 1 << 20
 
 
 class _Hashes(dict):
@@ -151,9 +153,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, hashed: Column, key: Column) -> DataFrame:
+    """``rows`` whose ``hashed`` value may be the ``key`` of a wanted row: all of those and few others.
+
+    The bit table has about 16 bits for each wanted row and ``FILTER_ROWS`` rows at most; beyond
+    that more rows pass, none is lost.
+    """
+    size = min(FILTER_ROWS, max(64, wanted.count() // 4))
+    bit = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    table = wanted.select(F.pmod(key, F.lit(size)).alias("__w"), F.expr("1L").alias("one"), bit(key).alias("k")).groupBy("__w").agg(F.bit_or(F.call_function("shiftleft", "one", "k")).alias("__bits"))
+    placed = rows.withColumn("__h", hashed).withColumn("__at", F.pmod("__h", F.lit(size)))
+    kept = placed.join(F.broadcast(table), F.col("__at") == F.col("__w")).filter(F.call_function("shiftrightunsigned", "__bits", bit(F.col("__h"))).bitwiseAND(F.lit(1)) == 1)
+    return kept.select(rows.columns)
+
+
 def full_sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``(id, shingles)``: the full shingle sets of the wanted texts (id, key, rep_id, rep_hash)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = sieved(texts, wanted, F.xxhash64("doc_id", "text_hash"), F.xxhash64("rep_id", "rep_hash"))
     found = wanted.join(texts, F.col("rep_id").eqNullSafe(F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash"))).select("id", "key", "text")
     return found.mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"])
 
@@ -175,7 +192,7 @@ def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _MOST_UNLIKE = BANDS * ROWS * (1 - 1 / 2**BITS) * (1 - FLOOR)
 
 
-def _links(rows: list[dict]) -> Iterator[tuple[int, int]]:
+def _links(rows: list[dict]) -> Iterator[tuple[int, int | None, int, int | None]]:
     """Links that join components of one bucket's two chunks (or of one chunk in itself)."""
     a = [r for r in rows if r["side"] == 0]
     b = [r for r in rows if r["side"] == 1]
@@ -202,7 +219,7 @@ def _links(rows: list[dict]) -> Iterator[tuple[int, int]]:
             both = np.add.reduceat(inside, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
             for j in part[(100 + PERCENT) * both >= PERCENT * (n_a[i] + n_b[part])]:
                 if of_b[j] != of_a[i]:
-                    yield a[i]["id"], b[j]["id"]
+                    yield a[i]["id"], a[i]["least_id"], b[j]["id"], b[j]["least_id"]
                     old, new = of_b[j], of_a[i]
                     of_a[of_a == old] = new
                     of_b[of_b == old] = new
@@ -212,34 +229,39 @@ def _links(rows: list[dict]) -> Iterator[tuple[int, int]]:
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     key = None
-    found: list[tuple[int, int]] = []
+    found: list[tuple] = []
     for batch in batches:
         heads = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
         numpy = {n: batch.column(n) for n in ("sign", "bands", "shingles")}
-        plain = {n: batch.column(n).to_pylist() for n in ("side", "id", "n", "component", "place")}
+        plain = {n: batch.column(n).to_pylist() for n in ("side", "id", "least_id", "n", "component", "place")}
         for k, head in enumerate(heads):
             if head != key:
                 found += _links(held) if len(held) > 1 else ()
                 held, key = [], head
             held.append({n: v[k] for n, v in plain.items()} | {n: v[k].values.to_numpy() for n, v in numpy.items()})
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(4)], names=["a", "least_a", "b", "least_b"])
         found = []
     if len(held) > 1:
         found = list(_links(held))
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(4)], names=["a", "least_a", "b", "least_b"])
 
 
 def linked(members: DataFrame) -> DataFrame:
-    """``(a, b)``: links by which members of different components of a bucket are joined.
+    """``(a, least_a, b, least_b)``: links by which members of different components of a bucket are joined.
 
-    A bucket is cut into chunks of about ``CHUNK_ROWS`` members, and each pair of chunks is
-    a group of its own, so that no task holds a whole bucket.  All pairs in a group are
-    compared, save those that a link of the group or an earlier band has dealt with.
+    A bucket is cut into chunks of about ``CHUNK_ROWS`` members or ``CHUNK_SHINGLES`` shingles, and
+    each pair of chunks is a group of its own, so that no task holds a whole bucket.  All pairs
+    in a group are compared, save those that a link of the group or an earlier band has dealt with.
     """
-    chunks = members.groupBy("band").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
+    chunks = members.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
     dealt = members.join(chunks, "band").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "place", "sign", "bands", "shingles")
-    return dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_link, "a long, b long")
+    dealt = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "least_id", "n", "component", "place", "sign", "bands", "shingles")
+    return dealt.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_link, "a long, least_a long, b long, least_b long")
+
+
+def node(least: str, name: str) -> Column:
+    """A text as a node of the graph; known ids come first, in order."""
+    return F.struct(F.col(least).isNull().alias("unknown"), F.coalesce(least, F.lit(0).cast("long")).alias("least_id"), F.col(name).alias("id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -253,7 +275,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # rows of buckets with two members at least that have a partner by the estimate
     buckets = reps.select("id", F.explode("bands").alias("band"))
     many = buckets.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
-    shared = materialize(buckets.join(many, "band").join(reps.select("id", "n", "sign"), "id"))
+    shared = materialize(buckets.join(many, "band").join(reps.select("id", "least_id", "n", "sign"), "id"))
 
     def promising(a: DataFrame, b: DataFrame, *more: Column) -> Column:
         out = (F.col("a.band") == F.col("b.band")) & (F.col("a.id") != F.col("b.id"))
@@ -266,25 +288,26 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = materialize(full_sets(shared.select("id").distinct().join(reps.select("id", "key", "rep_id", "rep_hash"), "id"), docs))
 
     # each member against the least member of its bucket
-    pivots = shared.groupBy("band").agg(F.min("id").alias("b"))
-    pairs = shared.join(pivots, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pivots = shared.groupBy("band").agg(F.min(F.struct("id", "least_id")).alias("p"))
+    pairs = shared.join(pivots, "band").filter("id <> p.id").select(F.col("id").alias("a"), F.col("least_id").alias("least_a"), F.col("p.id").alias("b"), F.col("p.least_id").alias("least_b")).distinct()
     own = lambda side: sets.select(F.col("id").alias(side), F.col("shingles").alias(f"s{side}"))
-    links = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(alike(F.col("sa"), F.col("sb"))).select("a", "b"))
-    first = components(links)
+    links = materialize(pairs.join(own("a"), "a").join(own("b"), "b").filter(alike(F.col("sa"), F.col("sb"))).select("a", "least_a", "b", "least_b"))
+    edges = lambda df: df.select(node("least_a", "a").alias("a"), node("least_b", "b").alias("b"))
+    first = components(edges(links))
 
     # what still lies apart in one bucket: all pairs, but never listed
-    placed = shared.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = shared.join(first.select(F.col("node.id").alias("id"), F.col("component.id").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     apart = materialize(placed.join(mixed, "band"))
     a, b = apart.alias("a"), apart.alias("b")
     differ = F.col("a.component") != F.col("b.component")
     apart = a.join(b, promising(a, b, differ), "left_semi").join(reps.select("id", "bands"), "id").join(sets, "id")
     more = materialize(linked(materialize(apart.withColumn("place", F.array_position("bands", F.col("band")).cast("int") - 1))))
-    whole = components(links.unionByName(more)) if more.take(1) else first
+    whole = components(edges(links.unionByName(more))) if more.take(1) else first
 
-    labels = reps.select("key", "id", "least_id").join(whole.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id"))
-    ids = labels.groupBy("group").agg(F.min("least_id").alias("component_id"))
-    labels = labels.select("key", "group").join(ids, "group")
+    labels = reps.select("key", "id", "least_id").join(whole.select(F.col("node.id").alias("id"), "component"), "id", "left")
+    least = F.when(F.col("component").isNull(), F.col("least_id")).when(~F.col("component.unknown"), F.col("component.least_id"))
+    labels = labels.select("key", F.coalesce("component.id", "id").alias("group"), least.alias("component_id"))
     out = signed.select("doc_id", "text_hash", "key", "n_shingles").join(labels, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "group")
