@@ -1,10 +1,11 @@
 """Exact nearest neighbours, local outlier factors and neighbour imputation.
 
-Points are range-partitioned by their widest column and packed into blocks, so that a block
-covers a short range of it.  Under the maximum (or Euclidean) metric a point's neighbours
-lie no further along one column than its distance to the k-th of its own block, so a block
-is compared only with blocks that reach into that margin.  Distances are computed between
-packed blocks in numpy; what leaves a task is k candidates for each point.
+Points are laid out along a Z-order curve of their columns' quantiles and packed into blocks,
+so that a block's box is small in all columns.  A point's neighbours lie no further along any
+column than its distance to the k-th of its own block, so each point asks only the blocks
+whose boxes come that near; an outlier that reaches far asks many blocks, but alone.  Asks
+and blocks meet by block number.  Distances are computed between packed blocks in numpy;
+what leaves a task is k candidates for each point and block.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from gritsieve.plans.ledger import IDX, empty, finding
 from gritsieve.plans.storage import materialize
 
 BLOCK = 2048
+#: Columns, the widest, that the layout of blocks goes by.
+CURVE = 7
 #: Rows with gaps that are held against all donors at once.
 GAPS_AT_ONCE = 20_000
 
@@ -66,8 +69,18 @@ def neighbours(points: DataFrame, columns: list[str], k: int = 20, metric: str =
     k = min(k, stats["n"] - 1)
     if k < 1:
         return points.sparkSession.createDataFrame([], "i long, j long, d double")
-    axis = max(columns, key=lambda c: stats[c] or 0.0)
-    at = columns.index(axis)
+    width = len(columns)
+    curve = sorted(columns, key=lambda c: -(stats[c] or 0.0))[:CURVE]
+    edges = {c: np.unique(x) for c, x in zip(curve, points.approxQuantile(curve, [q / 256 for q in range(1, 256)], 1 / 512))}
+
+    def placed(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            bins = [np.searchsorted(edges[c], pdf[c].to_numpy(np.float64)) for c in curve]
+            key = np.zeros(len(pdf), np.int64)
+            for bit in range(7, -1, -1):
+                for x in bins:
+                    key = key << 1 | (x >> bit & 1)
+            yield pdf.assign(place=key)
 
     def pack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n, held = TaskContext.get().partitionId(), 0, None
@@ -81,29 +94,42 @@ def neighbours(points: DataFrame, columns: list[str], k: int = 20, metric: str =
 
     def one(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
         x, ids = pdf[columns].to_numpy(np.float64), pdf[IDX].to_numpy(np.int64)
-        _, _, d = r = _nearest(x, ids, x, ids, k, metric)
-        full = np.bincount(r[0], minlength=len(x)).min(initial=0) >= k
-        reach = float(d.max()) if full and len(d) else np.inf
-        return pd.DataFrame({"block": [block], "low": [x[:, at].min()], "high": [x[:, at].max()], "reach": [reach], "ids": [ids.tobytes()], "data": [x.tobytes()]})
-
+        rows, _, d = _nearest(x, ids, x, ids, k, metric)
+        reach = np.zeros(len(x))
+        np.maximum.at(reach, rows, d)
+        reach[np.bincount(rows, minlength=len(x)) < k] = np.inf
+        return pd.DataFrame({"block": [block], "low": [x.min(axis=0)], "high": [x.max(axis=0)], "reach": [reach.tobytes()], "ids": [ids.tobytes()], "data": [x.tobytes()]})
+
+    numbers = ", ".join(f"`{c}` double" for c in columns)
+    typed = points.select(F.col(IDX).cast("long").alias(IDX), *(F.col(c).cast("double").alias(c) for c in columns))
     parts = max(1, -(-stats["n"] // (4 * BLOCK)))
-    dealt = points.select(IDX, *columns).repartitionByRange(parts, axis, IDX).sortWithinPartitions(axis, IDX)
-    blocks = materialize(dealt.mapInPandas(pack, "block long, low double, high double, reach double, ids binary, data binary"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    near = F.broadcast(blocks.select("block", "low", "high")).alias("b")  # a short row for each BLOCK points
-    pairs = blocks.select("block", "low", "high", "reach").alias("a").join(near, (F.col("b.low") <= F.col("a.high") + F.col("a.reach")) & (F.col("b.high") >= F.col("a.low") - F.col("a.reach"))).select(F.col("a.block").alias("p"), F.col("b.block").alias("q"))
-    width = len(columns)
+    dealt = typed.mapInPandas(placed, f"{IDX} long, {numbers}, place long").repartitionByRange(parts, "place", IDX).sortWithinPartitions("place", IDX)
+    blocks = materialize(dealt.mapInPandas(pack, "block long, low array<double>, high array<double>, reach binary, ids binary, data binary"))
+    boxes = blocks.select("block", "low", "high").toArrow()  # a short row for each BLOCK points
+    shared = points.sparkSession.sparkContext.broadcast((boxes["block"].to_numpy(), *(np.array(boxes[c].to_pylist(), np.float64).reshape(-1, width) for c in ("low", "high"))))
+
+    def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, low, high = shared.value
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                x, ids, reach = np.frombuffer(r.data).reshape(-1, width), np.frombuffer(r.ids, np.int64), np.frombuffer(r.reach)
+                most = reach.max()
+                near = np.flatnonzero(((low <= x.max(axis=0) + most) & (high >= x.min(axis=0) - most)).all(axis=1))
+                for q in near:
+                    own = (np.maximum(low[q] - x, x - high[q]).max(axis=1) <= reach) if number[q] != r.block else np.ones(len(x), bool)
+                    if own.any():
+                        yield pd.DataFrame({"q": [number[q]], "asks": [ids[own].tobytes()], "at": [x[own].tobytes()]})
 
     def compare(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for r in pdf.itertuples(index=False):
-                ia, ib = np.frombuffer(r.ia, np.int64), np.frombuffer(r.ib, np.int64)
-                rows, j, d = _nearest(np.frombuffer(r.xa).reshape(-1, width), ia, np.frombuffer(r.xb).reshape(-1, width), ib, k, metric)
+                ia, ib = np.frombuffer(r.asks, np.int64), np.frombuffer(r.ids, np.int64)
+                rows, j, d = _nearest(np.frombuffer(r.at).reshape(-1, width), ia, np.frombuffer(r.data).reshape(-1, width), ib, k, metric)
                 yield pd.DataFrame({"i": ia[rows], "j": j, "d": d})
 
-    joined = pairs.join(a, F.col("p") == F.col("a.block")).join(b, F.col("q") == F.col("b.block"))
-    joined = joined.select(F.col("a.ids").alias("ia"), F.col("a.data").alias("xa"), F.col("b.ids").alias("ib"), F.col("b.data").alias("xb"))
-    found = joined.repartition(max(joined.sparkSession.sparkContext.defaultParallelism, 1)).mapInPandas(compare, "i long, j long, d double")
+    asks = blocks.select("block", "reach", "ids", "data").mapInPandas(ask, "q long, asks binary, at binary")
+    met = asks.join(blocks.select(F.col("block").alias("q"), "ids", "data"), "q").select("asks", "at", "ids", "data")
+    found = met.repartition(max(parts, points.sparkSession.sparkContext.defaultParallelism)).mapInPandas(compare, "i long, j long, d double")
     rank = F.row_number().over(W.partitionBy("i").orderBy("d", "j"))
     return found.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
