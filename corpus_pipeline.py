@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before has kept.
 ``run`` writes each stage's rows as Parquet into the shared folder and reads them again,
-so that a lost executor costs at most the stage that runs.
+so that a lost executor costs at most the stage that runs; the folder is deleted when the
+process ends.
 
 1. language ID: texts without a letter or without a clear language go.
 2. MinHash near-dedup: of each class of near copies the one with the least id stays.
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.llm import decontam, langid, mixing, neardup, secrets
 from gritsieve.llm.common import held_out, shared_dir, table
+from gritsieve.plans.storage import forget
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, top = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, top = table(spark, sf_dir, "documents"), forget(spark, f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
