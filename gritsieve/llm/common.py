@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ def held_out(modulus: int, doc_id: Column | str = "doc_id") -> Column:
     return crc_of_id(doc_id) % modulus == 0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once, however often ``body`` has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text with A-Z lower-cased; other letters stay as they are."""
     return text.lower().split() if text else []

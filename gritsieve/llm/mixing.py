@@ -12,28 +12,35 @@ indices for the epoch ``i div blocks``, so that no block repeats before all have
 and none is used more than ceil(quota / blocks) times.  Slots and blocks join by index.
 
 Positions come from running sums over (source, hash prefixes), three levels deep, so that
-no task holds a whole source.  The table of sources (a row for each) is the only one that
-one task reads as a whole.
+no task holds a whole source.  Rows that are alike in id, text and source are one row with a
+count until their positions are known, and are then unrolled ``COPIES`` at a time, so that no
+task holds a much repeated row either.  Sources are numbered and their running sums taken by
+ranges: what one task reads as a whole is a row for each range.
 
 Defined cases: null or wordless texts have size 0 and take 0.  A null source is one source
-and sorts last.  Rows that repeat an id are separate documents.  With no words at all,
-every target and count is 0.  Further columns are ignored.
+and sorts last.  Rows that repeat an id are separate documents, also if they are alike.  A
+text of any length is counted whole; it spans as many blocks as it has words for.  With no
+words at all, every target and count is 0.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gritsieve.llm.common import WORD, materialize
+from gritsieve.llm.common import WORD, let, materialize
 
 #: Most repeats of a source in the mix.
 MOST_EPOCHS = 3
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 12
-#: Cells of the lookup from a draw to its source; with one row more for each source.
+#: Cells of the lookup from a draw to its source, at least; four for each source where there are many.
 CELLS = 1024
+#: Alike rows that one row is unrolled into at a time.
+COPIES = 4096
+#: Rows that one task is to unroll.
+TASK_ROWS = 1_000_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -42,6 +49,20 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit("place"), "doc_id", "text").alias("place"))
 
 
+def summed(df: DataFrame, order: list[Column], rank: str | None = None, **sums: str) -> DataFrame:
+    """``df`` with the sum of a column over the rows before each, for each of ``sums``, and with its ``rank``.
+
+    Rows go by ranges of ``order``, which no two share; sums inside a range are added to those of the ranges before.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).withColumn("__one", F.lit(1).cast("long")))
+    sums = sums | ({rank: "__one"} if rank else {})
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    ends = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
+    starts = ends.select("__range", *(F.coalesce(F.sum(f"__{n}").over(before(W.orderBy("__range"))), F.lit(0)).alias(f"__{n}") for n in sums))
+    within = ranged.withColumns({n: F.coalesce(F.sum(c).over(before(W.partitionBy("__range").orderBy(*order))), F.lit(0)) for n, c in sums.items()})
+    return within.join(starts, "__range").select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+
+
 def targets(sized: DataFrame) -> DataFrame:
     """A row for each source: its number, size, weight and target.
 
@@ -49,38 +70,48 @@ def targets(sized: DataFrame) -> DataFrame:
     a source reaches its cap in the order of cap / weight; with sources in this order, the
     first ones that an equal share would lift above their caps stop there.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("number", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    s = summed(sized.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], rank="number")
     s = s.withColumn("weight", F.col("number") % 3 + 1).withColumn("cap", MOST_EPOCHS * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = W.orderBy("ratio", "number").rowsBetween(W.unboundedPreceding, -1)
-    onward = W.orderBy("ratio", "number").rowsBetween(0, W.unboundedFollowing)
-    everywhere = W.orderBy("ratio", "number").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(everywhere) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
-    s = s.withColumn("level", level)
+    s = materialize(summed(s, [F.col("ratio"), F.col("number")], capped="cap", lighter="weight"))
+    words, weights = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    s = s.withColumn("level", (F.lit(words) - F.col("capped")) / (F.lit(weights) - F.col("lighter")))
     # the level of the first source that isn't capped is the common one
-    common = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "number", "level"))).over(everywhere)["level"]
-    return s.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(common * F.col("weight"), F.col("cap").cast("double")))).select("source", "number", "source_size", "weight", "target")
+    first = s.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "number", "level"))).alias("m")).first().m
+    target = F.col("cap").cast("double")
+    if first is not None:
+        target = F.least(target, F.lit(first.level) * F.col("weight"))
+    return s.select("source", "number", "source_size", "weight", target.alias("target"))
 
 
 def quotas(goal: DataFrame, block_words: int) -> DataFrame:
-    """``goal`` with each source's number of blocks and its quota of slots."""
+    """``goal`` with each source's number of blocks, its quota of slots and the quotas up to it."""
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long"), MOST_EPOCHS * F.col("blocks"))).otherwise(F.lit(0).cast("long"))
-    stop = F.sum("quota").over(W.orderBy("number").rowsBetween(W.unboundedPreceding, 0))
-    return goal.withColumn("blocks", blocks).withColumn("quota", quota).withColumn("stop", stop)
+    out = summed(goal.withColumn("blocks", blocks).withColumn("quota", quota), [F.col("number")], stop="quota")
+    return out.withColumn("stop", F.col("stop") + F.col("quota"))
+
+
+def unrolling(spark: SparkSession, rows: int) -> int:
+    """Partitions in which ``rows`` rows are unrolled."""
+    return max(2 * spark.sparkContext.defaultParallelism, rows // TASK_ROWS)
 
 
 def positions(sized: DataFrame, goal: DataFrame) -> DataFrame:
     """``sized`` with ``number`` of the source and ``first``: words of the source before the document."""
-    numbered = sized.join(goal.select(F.col("source").alias("__s"), "number", "source_size", "target"), sized["source"].eqNullSafe(F.col("__s"))).drop("__s")
+    alike = sized.groupBy("source", "place", "doc_id", "size").agg(F.count("*").alias("copies")).withColumn("all", F.col("size") * F.col("copies"))
+    numbered = alike.join(goal.select(F.col("source").alias("__s"), "number", "source_size", "target"), alike["source"].eqNullSafe(F.col("__s"))).drop("__s")
     numbered = numbered.withColumn("high", F.shiftrightunsigned("place", 56)).withColumn("mid", F.shiftrightunsigned("place", 48).bitwiseAND(F.lit(255)))
-    mids = numbered.groupBy("number", "high", "mid").agg(F.sum("size").alias("mid_size"))
+    mids = numbered.groupBy("number", "high", "mid").agg(F.sum("all").alias("mid_size"))
     highs = mids.groupBy("number", "high").agg(F.sum("mid_size").alias("high_size"))
     running = lambda keys, order, what: F.coalesce(F.sum(what).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     highs = highs.withColumn("before_high", running(["number"], ["high"], "high_size")).drop("high_size")
     mids = mids.withColumn("before_mid", running(["number", "high"], ["mid"], "mid_size")).drop("mid_size").join(highs, ["number", "high"])
-    within = running(["number", "high", "mid"], ["place", "doc_id", "size"], "size")
-    return numbered.withColumn("within", within).join(mids, ["number", "high", "mid"]).withColumn("first", F.col("before_high") + F.col("before_mid") + F.col("within")).select("doc_id", "source", "size", "source_size", "target", "number", "place", "first")
+    within = running(["number", "high", "mid"], ["place", "doc_id", "size"], "all")
+    placed = numbered.withColumn("within", within).join(mids, ["number", "high", "mid"]).withColumn("first", F.col("before_high") + F.col("before_mid") + F.col("within"))
+    runs = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    dealt = runs.repartition(unrolling(sized.sparkSession, sized.count()), "number", "first", "place", "copy")
+    each = dealt.withColumn("copy", F.explode(F.sequence(F.col("copy"), F.least(F.col("copy") + COPIES, F.col("copies")) - 1)))
+    return each.withColumn("first", F.col("first") + F.col("copy") * F.col("size")).select("doc_id", "source", "size", "source_size", "target", "number", "place", "first")
 
 
 def segments(placed: DataFrame, block_words: int) -> DataFrame:
@@ -95,7 +126,7 @@ def segments(placed: DataFrame, block_words: int) -> DataFrame:
 def draws(quota: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
     """``(shard, number, count)``: multinomial source counts of the output shards."""
     spark = quota.sparkSession
-    width = max(1, -(-slots // CELLS))
+    width = max(1, -(-slots // max(CELLS, 4 * quota.count())))
     cells = quota.filter("quota > 0").select("number", (F.col("stop") - F.col("quota")).alias("start"), "stop")
     cells = cells.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))))
     drawn = spark.range(slots).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), F.lit(max(slots, 1))).alias("ticket"))
@@ -116,22 +147,26 @@ def permuted(index: Column, n: Column, *key) -> Column:
 
 
 def slots(quota: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """``(shard, number, slot, block)``: what each output slot takes; slots count by source."""
+    """``(shard, number, slot, block)``: what each output slot takes; slots count by source.
+
+    Shards that make up for what was drawn too rarely count down from -1.
+    """
     total_slots = quota.agg(F.coalesce(F.max("stop"), F.lit(0))).first()[0]
-    drawn = draws(quota, total_slots, shard_slots, seed).withColumn("group", F.floor(F.col("shard") / 1024))
+    drawn = materialize(draws(quota, total_slots, shard_slots, seed)).withColumn("group", F.floor(F.col("shard") / 1024))
     groups = drawn.groupBy("number", "group").agg(F.sum("count").alias("size"))
     groups = groups.withColumn("before", F.coalesce(F.sum("size").over(W.partitionBy("number").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.coalesce(F.sum("count").over(W.partitionBy("number", "group").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     numbered = drawn.withColumn("within", within).join(groups.drop("size"), ["number", "group"]).withColumn("start", F.col("before") + F.col("within"))
-    total = drawn.groupBy("number").agg(F.sum("count").alias("drawn"))
     kept = numbered.select("shard", "number", "start", (F.col("start") + F.col("count")).alias("end"))
-    rest = quota.join(total, "number", "left").select(F.lit(-1).cast("long").alias("shard"), "number", F.coalesce("drawn", F.lit(0)).alias("start"), F.col("quota").alias("end"))
+    total = drawn.groupBy("number").agg(F.sum("count").alias("drawn"))
+    rest = quota.select("number", "quota").join(total, "number", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long"))).withColumn("lacking", F.col("quota") - F.col("drawn"))
+    rest = summed(rest.filter("lacking > 0"), [F.col("number")], before="lacking")
+    rest = rest.withColumn("nth", F.explode(F.sequence(F.floor(F.col("before") / shard_slots), F.floor((F.col("before") + F.col("lacking") - 1) / shard_slots))))
+    cut = lambda nth: F.col("drawn") + F.least("lacking", F.greatest(nth * shard_slots - F.col("before"), F.lit(0)))
+    rest = rest.select((-1 - F.col("nth")).alias("shard"), "number", cut(F.col("nth")).alias("start"), cut(F.col("nth") + 1).alias("end"))
     runs = kept.unionByName(rest).join(quota.select("number", "blocks", "quota"), "number").withColumn("end", F.least("end", "quota")).filter("start < end")
-    # a run is unrolled in pieces, so that no row makes more than shard_slots others
-    runs = runs.withColumn("start", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(shard_slots).cast("long")))).withColumn("end", F.least(F.col("end"), F.col("start") + shard_slots))
     # few short rows unroll into all slots, so they are dealt out by the number of slots
-    parts = max(2 * runs.sparkSession.sparkContext.defaultParallelism, total_slots // 1_000_000)
-    each = runs.repartition(parts).withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
+    each = runs.repartition(unrolling(quota.sparkSession, total_slots)).withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
     return each.select("shard", "number", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("number"), F.floor(F.col("slot") / F.col("blocks"))).alias("block"))
 
 
@@ -153,8 +188,13 @@ def mixed_blocks(docs: DataFrame, block_words: int = 64, shard_slots: int = 4096
     sized = materialize(sizes(docs))
     quota = materialize(quotas(targets(sized), block_words))
     placed = positions(sized, quota)
-    texts = docs.select("doc_id", F.xxhash64(F.lit("place"), "doc_id", "text").alias("place"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all_words")).dropDuplicates(["doc_id", "place"])
-    p = placed.alias("p").join(texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.place") == F.col("t.place"))).select("p.*", "all_words")
-    pieces = segments(p, block_words).withColumn("piece", F.array_join(F.slice("all_words", (F.col("from_word") + 1).cast("int"), F.col("words").cast("int")), " "))
-    taken = slots(quota, shard_slots, seed)
-    return taken.join(pieces, ["number", "block"]).select("shard", "slot", "source", (F.col("first") + F.col("from_word")).alias("part"), "doc_id", F.col("piece").alias("text"))
+    texts = docs.select("doc_id", F.xxhash64(F.lit("place"), "doc_id", "text").alias("place"), "text").dropDuplicates(["doc_id", "place"])
+    p = placed.filter("size > 0").alias("p").join(texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.place") == F.col("t.place"))).select("p.*", "text")
+    # a text is cut into its pieces inside its row, so that no row but its own carries all of it
+    low = F.floor(F.col("first") / block_words)
+    blocks = F.sequence(low, F.floor((F.col("first") + F.col("size") - 1) / block_words))
+    start = lambda b: F.greatest(b * block_words - F.col("first"), F.lit(0).cast("long"))
+    piece = lambda words, b: F.array_join(F.slice(words, (start(b) + 1).cast("int"), ((b + 1) * block_words - F.col("first") - start(b)).cast("int")), " ")
+    cut = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda words: F.transform(blocks, lambda b: F.struct(b.alias("block"), (F.col("first") + start(b)).alias("part"), piece(words, b).alias("piece"))))
+    pieces = p.select("doc_id", "source", "number", F.explode(cut).alias("x")).select("doc_id", "source", "number", "x.*")
+    return slots(quota, shard_slots, seed).join(pieces, ["number", "block"]).select("shard", "slot", "source", "part", "doc_id", F.col("piece").alias("text"))

@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gritsieve.llm.common import let
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -161,11 +163,6 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     return indexed(docs, rules).select("doc_id", F.xxhash64("text").alias("text_hash"), which.alias("rules")).filter(F.size("rules") > 0)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is found once, however often ``body`` has it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _last(a: Column) -> Column:
     return F.get(a, F.size(a) - 1)
 
@@ -184,9 +181,9 @@ def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column
     def whole(a: Column) -> Column:
         steps = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STEP).cast("int"))
         parts = F.transform(steps, lambda k: run(F.slice(a, k * STEP + 1, F.lit(STEP)), nothing))
-        return _let(parts, lambda p: _let(run(F.transform(p, _last), F.array(F.lit(0).cast("long"))), lambda tops: F.flatten(F.zip_with(p, F.slice(tops, F.lit(1), F.size(p)), lambda x, t: F.transform(x, lambda v: merge(t, v))))))
+        return let(parts, lambda p: let(run(F.transform(p, _last), F.array(F.lit(0).cast("long"))), lambda tops: F.flatten(F.zip_with(p, F.slice(tops, F.lit(1), F.size(p)), lambda x, t: F.transform(x, lambda v: merge(t, v))))))
 
-    return _let(values, whole)
+    return let(values, whole)
 
 
 def _spans(r: Rule, k: int) -> Column:
@@ -202,7 +199,7 @@ def _spans(r: Rule, k: int) -> Column:
         counted = F.zip_with(spans, lengths(F.regexp_extract_all("text", p, F.lit(r.group))), lambda x, n: F.when(n >= r.least, x))
         return F.filter(counted, lambda x: x.isNotNull())
 
-    return F.when(F.regexp_like("text", p), _let(lengths(F.regexp_extract_all("text", p, F.lit(0))), placed))
+    return F.when(F.regexp_like("text", p), let(lengths(F.regexp_extract_all("text", p, F.lit(0))), placed))
 
 
 def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -248,7 +245,7 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
         return F.concat(F.array_join(gaps, ""), part(_last(reached), F.size(letters).cast("long")))
 
     hidden = F.size(FOUND) > 0
-    changed = _let(reach, lambda r: _let(F.split("text", ""), lambda letters: kept(r, letters)))
+    changed = let(reach, lambda r: let(F.split("text", ""), lambda letters: kept(r, letters)))
     out = with_spans(docs, rules).withColumn("text", F.when(hidden, changed).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hidden, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gritsieve.llm import mixing, secrets
@@ -60,10 +62,88 @@ def test_mix(spark, case):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def chained(*values):
+    """The engine's hash of several columns: each seeds the next, nulls leave it as it is."""
+    out = 42
+    for v in values:
+        if v is not None:
+            out = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.tobytes(), out)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def brute_mix(rows, block, shard, seed=11):
+    """Text pieces of the mix by (shard, source), drawn, permuted and packed one slot at a time."""
+    i32, i64 = np.int32, np.int64
+    key = lambda s: (s is None, (s or "").encode())
+    names = sorted({s for _, _, s in rows}, key=key)
+    stream = {s: [] for s in names}
+    place = lambda i, t: chained("place", None if i is None else i64(i), t) % (1 << 64)
+    for i, t, s in sorted(rows, key=lambda r: (place(r[0], r[1]), r[0] or 0)):
+        stream[s] += [(i, w) for w in (t or "").split()]
+    goal = brute_targets({s: len(x) for s, x in stream.items()})
+    blocks = {s: -(-len(x) // block) for s, x in stream.items()}
+    quota = {s: min(round(goal[s] / len(x) * blocks[s]), 3 * blocks[s]) if x else 0 for s, x in stream.items()}
+    tickets = [s for s in names for _ in range(quota[s])]
+    drawn = [(k // shard, tickets[chained(i32(seed), "draw", i64(k)) % len(tickets)]) for k in range(len(tickets))]
+    lacking = [s for s in names for _ in range(quota[s] - sum(x == s for _, x in drawn))]
+    drawn += [(-1 - k // shard, s) for k, s in enumerate(lacking)]
+    out, used = Counter(), Counter()
+    for d, s in drawn:
+        slot = used[s]
+        used[s] += 1
+        if slot < quota[s]:
+            n, number = blocks[s], i64(names.index(s))
+            x, epoch = slot % n, i64(slot // n)
+            for r in range(1, mixing.ROUNDS + 1):
+                other = (chained("key", i32(seed), number, epoch, i32(r)) % n + n - x) % n
+                x = other if chained("swap", i32(seed), number, epoch, i32(r), i64(max(x, other))) & 1 else x
+            out.update((d, s, i, w) for i, w in stream[s][x * block : (x + 1) * block])
+    return out
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_mix_against_brute_force(spark, monkeypatch, case):
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    rows = CASES[case]
+    want = brute_mix(rows, 16, 64)
+    pieces = Counter()
+    for r in mixing.mixed_blocks(docs(spark, rows), block_words=16, shard_slots=64).collect():
+        pieces.update((r.shard, r.source, r.doc_id, w) for w in r.text.split())
+    assert pieces == want
+    taken, by_id = Counter(), Counter()
+    for r in mixing.mix(docs(spark, rows), block_words=16, shard_slots=64).collect():
+        taken[r.source, r.doc_id] += r.taken
+    for (_, s, i, _), n in want.items():
+        by_id[s, i] += n
+    assert +taken == by_id
+
+
+def test_sources_without_end(spark):
+    rows = [(i, f"w{i} " * (1 + i % 9), f"s{i}") for i in range(600)]
+    sizes = {s: len(t.split()) for _, t, s in rows}
+    want = brute_targets(sizes)
+    got = mixing.mix(docs(spark, rows).repartition(7), block_words=2, shard_slots=64).collect()
+    assert {r.source: round(r.target, 6) for r in got} == {s: round(x, 6) for s, x in want.items()}
+
+
+def test_sums_before(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("v")).repartition(5)
+    got = mixing.summed(df, [F.col("k").desc()], rank="place", before="v").collect()
+    total, values = 0, {r.k: r.v for r in got}
+    for r in sorted(got, key=lambda r: -r.k):
+        assert (r.place, r.before) == (999 - r.k, total)
+        total += values[r.k]
+    assert mixing.summed(df.limit(0), [F.col("k")], rank="place").count() == 0
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_blocks_of_nothing(spark):
+    assert mixing.mixed_blocks(docs(spark, [])).count() == 0
+
+
 def test_blocks_hold_the_words_that_are_counted(spark):
     rows = [(i, " ".join(f"{i}_{k}" for k in range(20 + i)), f"s{i % 3}") for i in range(40)]
     df = docs(spark, rows).withColumn("number", F.lit(1))
