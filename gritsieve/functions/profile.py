@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from gritsieve.functions.scalar import frac_year, parse_date
 from gritsieve.plans.ledger import IDX
+from gritsieve.plans.storage import materialize
 
 #: Rows that are looked at before a column is read through.
 PROBE = 1000
 #: Columns in one aggregate, to stay clear of the limits of generated code.
 CHUNK = 100
+#: Bytes of dictionaries, one for each column, that every task may hold.
+MOST_CODES = 64 << 20
 
 
 @dataclass
@@ -133,27 +137,36 @@ def null_fraction_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.unpivot([], columns, "column", "null_fraction")
 
 
+def numbered(df: DataFrame, order: Column) -> DataFrame:
+    """``df`` with ``id``, 0, 1, ... in an order that no two rows share, without sorting it in one task."""
+    rows = materialize(df.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    first = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition
+    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(first), "_part").select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("id"))
+
+
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(value, code)``: one dictionary of all values of the columns, in sorted order; null is the last."""
-    from pyspark.sql import Window as W
-
     values = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "value").select("value").distinct()
-    return values.withColumn("code", F.row_number().over(W.orderBy(F.col("value").asc_nulls_last())) - 1)
+    return numbered(values, F.col("value").asc_nulls_last()).select("value", F.col("id").alias("code"))
 
 
 def string_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column1, column2, corr)`` of the coded columns, each pair once in either order.
 
-    Callers give columns of few distinct values; their dictionary has a row for each.
+    Rows are coded and summed in one pass where the dictionary is small enough to be sent to
+    all tasks; else equal rows are counted first and joined with it column by column.
     """
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column1 string, column2 string, corr double")
-    codes = label_codes(df, columns)
+    codes = materialize(label_codes(df, columns))
+    held = codes.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + 64), F.lit(0))).first()[0] * len(columns)
     coded = df.select(*(F.col(c).cast("string").alias(c) for c in columns))
-    grouped = coded.groupBy(*columns).count()  # as many rows as combinations
+    small = held <= MOST_CODES
+    grouped = coded.withColumn("count", F.lit(1)) if small else coded.groupBy(*columns).count()
     for i, c in enumerate(columns):
         d = codes.select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
-        grouped = grouped.join(d, grouped[c].eqNullSafe(d[f"_v{i}"]), "left").drop(f"_v{i}")
+        grouped = grouped.join(F.broadcast(d) if small else d, grouped[c].eqNullSafe(d[f"_v{i}"]), "left").drop(c, f"_v{i}")
     w = F.col("count").cast("double")
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     x = lambda i: F.col(f"_c{i}").cast("double")

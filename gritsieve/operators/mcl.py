@@ -13,8 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from gritsieve.functions.profile import numbered
 from gritsieve.plans.graph import components
 from gritsieve.plans.storage import materialize
 
@@ -28,15 +28,7 @@ MOST_BYTES = 256 << 20
 
 def vocabulary(rows: DataFrame, col: str) -> DataFrame:
     """``(id, word, n)``: distinct non-null values in sorted order, and how often each occurs."""
-    return numbered(rows.select(F.col(col).cast("string").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n")))
-
-
-def numbered(words: DataFrame) -> DataFrame:
-    """``(id, word, n)``: distinct words (word, n) numbered in sorted order, without sorting them in one task."""
-    words = materialize(words.orderBy("word").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    first = words.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each partition
-    first = first.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return words.join(F.broadcast(first), "_part").select((F.col("_before") + F.col("_at") - F.col("_first")).alias("id"), "word", "n")
+    return numbered(rows.select(F.col(col).cast("string").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n")), F.col("word")).select("id", "word", "n")
 
 
 def tf_vectors(words: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gritsieve.functions.profile import Roles
+from gritsieve.functions.profile import Roles, numbered
 from gritsieve.operators import mcl
 from gritsieve.operators.duplicates import deduplicated
 from gritsieve.plans.graph import components
@@ -219,7 +219,7 @@ def clustered(vocab: DataFrame, method: str = "affinity_propagation", affinity:
     if method == "MCL":
         out = None
         for c in [r.column for r in vocab.select("column").distinct().collect()]:  # a few column names
-            words = mcl.numbered(vocab.filter(F.col("column") == c).select("word", "n"))
+            words = numbered(vocab.filter(F.col("column") == c).select("word", "n"), F.col("word"))
             part = mcl.word_clusters(words, **kwargs).select(F.lit(c).alias("column"), "label", "word", "n")
             out = part if out is None else out.unionByName(part)
         return out if out is not None else vocab.select("column", F.lit(0).cast("long").alias("label"), "word", "n").limit(0)

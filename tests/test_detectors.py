@@ -266,6 +266,21 @@ def test_correlation_of_nothing(spark):
     assert categories.correlated(q.data, q.roles, q.uniq_col) == {"s": []}
 
 
+@pytest.mark.parametrize("most", [profile.MOST_CODES, 0])
+def test_correlation_against_numpy(spark, monkeypatch, most):
+    monkeypatch.setattr(profile, "MOST_CODES", most)
+    rng = random.Random(5)
+    rows = [(a := rng.choice(["é", "b", "", None]), rng.choice([a, "z", "b"]), rng.choice("xyz"), "same") for _ in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string").repartition(3)
+    order = sorted({v for r in rows for v in r}, key=lambda v: (v is None, (v or "").encode()))
+    assert {r.value: r.code for r in profile.label_codes(df, df.columns).collect()} == {v: k for k, v in enumerate(order)}
+    x = np.array([[order.index(v) for v in r[:3]] for r in rows], float)
+    want = np.corrcoef(x.T)
+    got = {(r.column1, r.column2): r.corr for r in profile.string_correlation(df, df.columns).collect()}
+    assert len(got) == 12 and all(got[p] is None for p in got if "d" in p)
+    assert all(abs(got["abc"[i], "abc"[j]] - want[i, j]) < 1e-9 for i in range(3) for j in range(3) if i != j)
+
+
 def test_a_large_vocabulary_is_clustered_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(typos, "MAX_VOCAB", 40)
     monkeypatch.setattr(typos, "SAMPLE", 30)
