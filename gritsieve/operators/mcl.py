@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.functions.profile import numbered
+from gritsieve.functions import profile
 from gritsieve.plans.graph import components
 from gritsieve.plans.storage import materialize
 
@@ -28,7 +28,12 @@ MOST_BYTES = 256 << 20
 
 def vocabulary(rows: DataFrame, col: str) -> DataFrame:
     """``(id, word, n)``: distinct non-null values in sorted order, and how often each occurs."""
-    return numbered(rows.select(F.col(col).cast("string").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n")), F.col("word")).select("id", "word", "n")
+    return numbered(rows.select(F.col(col).cast("string").alias("word")).filter("word is not null").groupBy("word").agg(F.count("*").alias("n")))
+
+
+def numbered(words: DataFrame) -> DataFrame:
+    """``(id, word, n)``: distinct words (word, n) numbered in sorted order, without sorting them in one task."""
+    return profile.numbered(words, F.col("word")).select("id", "word", "n")
 
 
 def tf_vectors(words: DataFrame) -> DataFrame:
