@@ -127,6 +127,13 @@ def test_lof_over_many_blocks(spark, monkeypatch):
     assert np.allclose(got, brute_lof(x, 10))
 
 
+def test_later_copies_are_not_broadcast(spark):
+    q = DataQuality(spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("w")), index_col="k")
+    plan = q.first_rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r[IDX] for r in q.first_rows.collect()] == [0]
+
+
 def test_imputation(spark):
     q = quality(spark, [(1, 10), (2, 20), (3, None)], "a int, b int")
     assert [r.b for r in q.imputation().orderBy(IDX).collect()] == [10.0, 20.0, 15.0]
