@@ -23,7 +23,8 @@ questions and are joined by chunk.  So a pair or word moves once for each chunk
 however often it occurs, and no row belongs to a single hot word.  A context with more than
 ``WARD`` customers is dealt out by dish to several wards; each takes its own tables as a
 fair share of the context's.  What is gathered grows with the corpus: all its pairs and words.
-The driver holds totals and about ``HOT`` commonest words.
+The driver holds totals and about ``HOT`` commonest words; of all others, wards are told
+the exact counts with the pairs, so how many are held bears on no result.
 
 Defined cases: a null or blank text has one token, the end.  A null id is held out.  Rows
 that repeat an id are scored each.  With no training rows all probabilities are uniform over
@@ -45,9 +46,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gritsieve.llm.common import materialize, pieces, release, word_codes
+from gritsieve.plans.storage import drop
 
 CHUNK = WARD = 1 << 21
-#: About as many commonest words have their counts known while contexts are swept.
+#: About as many commonest words have their counts held by all tasks; those of the others travel with the pairs.
 HOT = 100_000
 BURN_IN, SAMPLES, PARTICLES, TURNS = 1, 3, 4, 16
 #: Strengths that are tried.
@@ -57,23 +59,37 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: A-Z are lower-cased, ASCII white space becomes blanks.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 ROWS = "kind int, part long, chunk long, a binary, b binary, c binary"
-WORDS, PAIRS, TEXTS, ROOT, HALLS = range(5)
+WORDS, PAIRS, TEXTS, ROOT, HALLS, TOLD = range(6)
 
 
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array's length in bytes and its bytes, compressed, for they lie on disk and travel."""
+    """An array's length in bytes and its bytes, compressed, for they lie on disk and travel.
+
+    Numbers whose upper bytes are alike take less room byte by byte; the length's last byte then
+    tells how many bytes a number has.
+    """
     raw = np.ascontiguousarray(x).view(np.uint8)
-    return len(raw).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if len(raw) else b"")
+    if not len(raw):
+        return bytes(8)
+    out, size = _ZSTD.compress(raw, asbytes=True), 0
+    if x.dtype.itemsize > 1:
+        planes = _ZSTD.compress(np.ascontiguousarray(raw.reshape(-1, x.dtype.itemsize).T).reshape(-1), asbytes=True)
+        if len(planes) < len(out):
+            out, size = planes, x.dtype.itemsize
+    return len(raw).to_bytes(7, "little") + bytes([size]) + out
 
 
 def unpacked(x, dtype) -> np.ndarray:
     """What :func:`packed` has packed, from bytes or a buffer."""
     x = memoryview(x)
-    n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(_ZSTD.decompress(x[8:], decompressed_size=n), dtype) if n else np.empty(0, dtype)
+    n, size = int.from_bytes(x[:7], "little"), x[7]
+    if not n:
+        return np.empty(0, dtype)
+    raw = np.frombuffer(_ZSTD.decompress(x[8:], decompressed_size=n), np.uint8)
+    return (np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1) if size else raw).view(dtype)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -154,14 +170,16 @@ class Known:
     total: int  #: training tokens
     distinct: int
     wards: int  #: bits
+    bands: np.ndarray | None = None  #: tokens of all words by the whole logarithm of the word's count; None if ``codes`` has all words
 
-    def rarely(self) -> float:
-        """Mean count of the other words."""
-        rest = self.distinct - len(self.codes)
-        return max(1.0, (self.total - int(self.counts.sum())) / rest) if rest else 1.0
+    def mass(self) -> np.ndarray:
+        if self.bands is not None:
+            return self.bands.astype(float)
+        return np.bincount(np.log2(np.maximum(self.counts, 1)).astype(np.int64), self.counts, 64) if len(self.counts) else np.zeros(64)
 
     def count(self, words: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), self.rarely())
+        """0 for words that aren't held; none of these has ``WARD`` tokens."""
+        out = np.zeros(len(words))
         if len(self.codes):
             at = np.minimum(np.searchsorted(self.codes, words), len(self.codes) - 1)
             ok = self.codes[at] == words
@@ -170,7 +188,7 @@ class Known:
 
     def rooms(self, contexts: np.ndarray) -> np.ndarray:
         """To how many wards each context is dealt out."""
-        return np.minimum(np.ceil(self.count(contexts) / WARD).astype(np.int64), 1 << self.wards)
+        return np.clip(np.ceil(self.count(contexts) / WARD).astype(np.int64), 1, 1 << self.wards)
 
     def ward(self, contexts: np.ndarray, rooms: np.ndarray, words: np.ndarray) -> np.ndarray:
         room = (words >> np.uint64(20)) % rooms.astype(np.uint64)
@@ -178,20 +196,20 @@ class Known:
         return (mixed >> np.uint64(64 - self.wards)).astype(np.int64) if self.wards else np.zeros(len(contexts), np.int64)
 
 
-def sweep(c: np.ndarray, rest: np.ndarray, words: np.ndarray, rooms: np.ndarray, known: Known, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float, float]:
+def sweep(c: np.ndarray, rest: np.ndarray, words: np.ndarray, rooms: np.ndarray, known: Known, rng: np.random.Generator, told: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Tables of a ward's pairs: of the last sweep and averaged; discount and strength.
 
-    ``c``: customers of each pair; ``rest``: its restaurant (sorted, from 0); ``rooms``: of each restaurant.
+    ``c``: customers of each pair; ``rest``: its restaurant (sorted, from 0); ``rooms``: of each restaurant;
+    ``told``: counts of those words that ``known`` doesn't hold.
     """
     d = discount(c)
     t = np.minimum(c, 1)
     size = len(rooms)
     customers = np.bincount(rest, c, size)
-    seen = known.count(words)
+    seen = known.count(words) if told is None else np.maximum(known.count(words), told)
     band = np.log2(np.maximum(seen, 1)).astype(np.int64) * (c > 0)
     in_band = np.bincount(band, c, 64)
-    mass = np.bincount(np.log2(np.maximum(known.counts, 1)).astype(np.int64), known.counts, 64) if len(known.counts) else np.zeros(64)
-    mass[int(np.log2(known.rarely()))] += max(0, known.total - mass.sum())
+    mass = known.mass()
     many = np.flatnonzero(c > 1)
     first = np.searchsorted(rest[many], rest[many])
     turn = (np.arange(len(many)) - first) % TURNS
@@ -298,10 +316,13 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, words, counts, how many words have a count with a like logarithm)."""
+    """Rows (range, words, counts, how many words have a count with a like logarithm), and the counts for each chunk."""
     for part, rows in _grouped(batches):
         codes, at = np.unique(np.concatenate([unpacked(r[3], np.uint64) for r in rows]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([unpacked(r[4], np.int32) for r in rows])).astype(np.int64)
+        asked = [unpacked(r[4], np.int32) for r in rows]
+        n = np.bincount(at, np.concatenate(asked)).astype(np.int64)
+        end = np.cumsum([len(x) for x in asked])
+        yield _rows([(TOLD, part, r[2], packed(n[at[j - len(x) : j]]), None, None) for r, x, j in zip(rows, asked, end)])
         codes, n = codes[n > 0], n[n > 0]
         steps = np.bincount((8 * np.log2(n)).astype(np.int64), minlength=512) if len(n) else np.zeros(512, np.int64)
         yield _rows([(WORDS, part, len(codes), packed(codes), packed(n), packed(steps.astype(np.int64)))])
@@ -323,9 +344,14 @@ def _bits(n: float) -> int:
     return max(3, int(np.ceil(np.log2(max(n, 1)))))
 
 
-def known(chunked: DataFrame, bits: int) -> Known:
+def counted(chunked: DataFrame, bits: int) -> DataFrame:
+    """The training words' counts by ranges, and what each chunk is told of its own words."""
+    return materialize(_dealt(chunked.select("chunk", "codes", "counts").mapInArrow(_ask_words(bits), ROWS), 1 << bits).mapInArrow(_sum_words, ROWS))
+
+
+def known(chunked: DataFrame, bits: int, ranges: DataFrame | None = None) -> Known:
     """Totals and commonest words of the training texts; what reaches the driver is bounded by ``HOT`` and 512 sums a range."""
-    words = materialize(_dealt(chunked.select("chunk", "codes", "counts").mapInArrow(_ask_words(bits), ROWS), 1 << bits).mapInArrow(_sum_words, ROWS))
+    words = (counted(chunked, bits) if ranges is None else ranges).filter(F.col("kind") == WORDS)
     steps, distinct = np.zeros(512, np.int64), 0
     for r in words.select("chunk", "c").toLocalIterator():
         steps += unpacked(r.c, np.int64)
@@ -333,15 +359,22 @@ def known(chunked: DataFrame, bits: int) -> Known:
     held = np.cumsum(steps[::-1])[::-1]
     least = 2.0 ** (int(np.argmax(held <= HOT)) / 8)
     got = words.select("a", "b").mapInArrow(_commonest(min(least, WARD)), "code long, n long").toArrow()
-    total = words.mapInArrow(_totals, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bands = np.zeros(64, np.int64)
+    for r in words.select("b").mapInArrow(_bands, "band int, n long").groupBy("band").agg(F.sum("n").alias("n")).collect():  # 64 at most
+        bands[r.band] = r.n
+    total = int(bands.sum())
     codes, n = got["code"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(codes)
-    return Known(codes[order], n[order], int(total), distinct, _bits(total / WARD))
+    return Known(codes[order], n[order], total, distinct, _bits(total / WARD), bands)
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(_column(batch, "b", k, np.int64).sum()) for k in range(batch.num_rows)], pa.int64())], names=["n"])
+        for k in range(batch.num_rows):
+            n = _column(batch, "b", k, np.int64)
+            sums = np.zeros(64, np.int64)
+            np.add.at(sums, np.log2(n).astype(np.int64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array(sums)], names=["band", "n"])
 
 
 # pairs
@@ -387,21 +420,28 @@ class Asked:
 
 
 def _ask_pairs(shared) -> Callable:
-    """Rows (ward, chunk, contexts and how many pairs each has, words, counts)."""
+    """Rows (ward, chunk, contexts and how many pairs each has, words, counts of the pairs and of the words that not all tasks hold).
+
+    The words' counts come in ``told``, by ranges; without it all words must be held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 codes, tokens = _column(batch, "codes", k, np.uint64), _column(batch, "tokens", k, np.int32).astype(np.int64)
                 train = np.repeat(~_column(batch, "held", k, bool), _column(batch, "sizes", k, np.int32))
+                told = np.zeros(len(codes), np.int32)
+                if "told" in batch.schema.names:
+                    n = np.concatenate([unpacked(x.as_buffer(), np.int64) for x in batch.column(batch.schema.get_field_index("told"))[k].values])
+                    told = np.where(shared.value.count(codes) > 0, 0, n).astype(np.int32)  # below WARD
                 asked = Asked(codes, tokens, shared.value)
                 count = np.bincount(asked.pair[train], minlength=len(asked.word)).astype(np.int32)
                 for ward in range(asked.wards):
                     own, begin, context = asked.runs(ward)
                     if len(own):
                         head = packed(np.concatenate([codes[context], np.diff(np.append(begin, len(own))).astype(np.uint64)]))
-                        yield _rows([(PAIRS, ward, batch.column(0)[k].as_py(), head, packed(codes[asked.word[own]]), packed(count[own]))])
-                del asked, tokens, train, count
+                        yield _rows([(PAIRS, ward, batch.column(0)[k].as_py(), head, packed(codes[asked.word[own]]), packed(np.concatenate([count[own], told[asked.word[own]]])))])
+                del asked, tokens, train, count, told
         release()
 
     return run
@@ -417,7 +457,9 @@ def _seat(shared, bits: int) -> Callable:
             heads = [(h[: len(h) // 2], h[len(h) // 2 :].view(np.int64)) for h in heads]
             every, rank = np.unique(np.concatenate([u for u, _ in heads]), return_inverse=True)
             context = np.repeat(rank, np.concatenate([n for _, n in heads]))
-            word, count = np.concatenate([unpacked(r[4], np.uint64) for r in rows]), np.concatenate([unpacked(r[5], np.int32) for r in rows])
+            word = np.concatenate([unpacked(r[4], np.uint64) for r in rows])
+            both = [unpacked(r[5], np.int32).reshape(2, -1) for r in rows]
+            count, told = (np.concatenate([x[j] for x in both]) for j in (0, 1))
             # inside a context, words are told apart by the upper bits that there is room for, 40 or more
             room = 63 - len(every).bit_length()
             key = context << room | (word >> np.uint64(64 - room)).astype(np.int64)
@@ -425,13 +467,13 @@ def _seat(shared, bits: int) -> Callable:
             new = np.diff(key[order], prepend=-1) != 0
             at = np.flatnonzero(new)
             c = np.add.reduceat(count[order].astype(np.int64), at)
-            rest, w = context[order][at], word[order][at]
+            rest, w, told = context[order][at], word[order][at], told[order][at]
             pair = np.empty(len(order), np.int64)
             pair[order] = np.cumsum(new) - 1
             u = every
-            del context, word, count, key, order, new, at, rank
+            del context, word, count, both, key, order, new, at, rank
             rooms = k.rooms(u)
-            t, mean, d, theta = sweep(c, rest, w, rooms, k, np.random.default_rng(ward))
+            t, mean, d, theta = sweep(c, rest, w, rooms, k, np.random.default_rng(ward), told)
             mass = (c - d * mean).astype(np.float32)
             fresh = theta / rooms + d * np.bincount(rest, mean, len(u))
             begin = 0
@@ -557,9 +599,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     chunked = materialize(chunks(docs.select("doc_id", "text").withColumn("held_out", held_out)))
     words, n, most = chunked.agg(F.coalesce(F.sum(F.octet_length("codes") / 8), F.lit(0)), F.count("*"), F.max(F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
     bits = _bits(words / WARD)
-    k = known(chunked, bits)
+    ranges = counted(chunked, bits)
+    k = known(chunked, bits, ranges)
+    told = ranges.filter(F.col("kind") == TOLD).groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "a"))), lambda x: x["a"]).alias("told"))
+    first, chunked = chunked, materialize(chunked.join(told, "chunk"))
+    drop(first)
+    drop(ranges)
     shared = spark.sparkContext.broadcast(k)
-    asks = chunked.select("chunk", "held", "sizes", "codes", "tokens").mapInArrow(_ask_pairs(shared), ROWS)
+    asks = chunked.select("chunk", "held", "sizes", "codes", "tokens", "told").mapInArrow(_ask_pairs(shared), ROWS)
     seated = materialize(_dealt(asks, 1 << k.wards).mapInArrow(_seat(shared, bits), ROWS))
     asks = chunked.select("chunk", "codes", "counts").mapInArrow(_ask_words(bits), ROWS).unionByName(seated.filter(F.col("kind") == ROOT))
     rooted = materialize(_dealt(asks, 1 << bits).mapInArrow(_seat_root(k.total, k.distinct), ROWS))

@@ -264,6 +264,16 @@ def test_language_model(spark, monkeypatch, small):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_no_count_is_a_mean(spark, monkeypatch):
+    """Scores are the same however few words all tasks hold."""
+    rows = [r for r in lm_rows() if r[0] != 1003]
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    scores = lambda: sorted((r.doc_id or -1, r.n_tokens, r.score) for r in lm.score(docs(spark, rows), held_out(10)).collect())
+    every = scores()
+    monkeypatch.setattr(lm, "HOT", 3)
+    assert scores() == every
+
+
 def seatings(c, t, d):
     """log of a generalized Stirling number."""
     s = {(0, 0): 1.0}
